@@ -2,10 +2,16 @@
 
 from .decontaminate import op2_decontaminate
 from .fingerprint import op1_fingerprint
+from .neardup import op6_neardup
+from .packing import op9_packing
+from .tokenfile import op5_token_shards
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_decontaminate": op2_decontaminate,
+    "op5_token_shards": op5_token_shards,
+    "op6_neardup": op6_neardup,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
