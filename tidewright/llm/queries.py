@@ -2,16 +2,26 @@
 
 from .decontaminate import op2_decontaminate
 from .fingerprint import op1_fingerprint
+from .langid import op7_langid
+from .lm import op3_lm
 from .neardup import op6_neardup
 from .packing import op9_packing
+from .pii import op10_pii
+from .preference import OP4_SQL, op4_preference
 from .tokenfile import op5_token_shards
+from .urlfilter import OP8_SQL, op8_urlfilter
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_decontaminate": op2_decontaminate,
+    "op3_lm": op3_lm,
+    "op4_preference": op4_preference,
     "op5_token_shards": op5_token_shards,
     "op6_neardup": op6_neardup,
+    "op7_langid": op7_langid,
+    "op8_urlfilter": op8_urlfilter,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_preference": OP4_SQL, "op8_urlfilter": OP8_SQL}
