@@ -5,21 +5,24 @@ hash; its sketch is the K least values. Documents with equal sets are one from
 the start. Then:
 
 1. Inverted lists. Two sets with a Jaccard similarity of 0.75 share, of their
-   sketches, OVERLAP values or more but for less than one pair in 10**10 (sets
+   sketches, OVERLAP values or more but for less than one pair in 10**9 (sets
    small enough for their sketch to be the whole set: all that similarity
    asks). So each document is listed under all but OVERLAP - 1 of its values,
    the most frequent ones left out; values no other document retains make no
    list. Passages common to many documents are thus no list of their own
-   unless they make up most of a document.
-2. Pairs. Links are only needed until the members of a list are one component.
-   First each member is paired with one pivot of each of its lists; the links
-   found are contracted, and this is repeated with other pivots where a list
-   still spans components. Whatever pairs of different components are left in
-   a list then are all compared. No list is cut, and no pair that could still
-   join two components is left out.
-3. A pair's union sketch (the K least values of both) estimates its
-   similarity; estimates SLACK standard errors below the threshold drop it.
-4. The full sets of the others are compared exactly.
+   unless they make up a good part of a document.
+2. Hubs. Each list goes to its hub, the member whose sketch values are the
+   most frequent on average. Copies of one text have most lists in common, and
+   these mostly one hub, so each member comes once to a hub and not once for
+   every list. Any two members of one list meet at its hub.
+3. Members of a hub are dealt to blocks of bounded size, and each two blocks
+   are compared by one task, so no hub is too large for a task. A pair's union
+   sketch (the K least values of both) estimates its similarity; estimates
+   SLACK standard errors below the threshold drop it. The full sets of the
+   others are compared exactly. A task returns links that join what it found
+   to be similar, at most one less than it has members, never all pairs.
+
+No list, hub or pair is cut; only pairs that a filter rules out go unread.
 
 Defined cases: null, empty and blank texts have no set and no link; with fewer
 than five words the whole sequence is the one shingle; repeated rows are equal
@@ -41,7 +44,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, bytes_of, small_batches, staged, table
 from .components import components
 
-WORDS, K, OVERLAP, ROUNDS, SLACK = 5, 40, 11, 3, 6.0
+WORDS, K, OVERLAP, SLACK = 5, 48, 16, 6.0
+#: Members and shingles of a block, as far as even dealing holds.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 #: The similarity, as a fraction.
 TOP, BOTTOM = 75, 100
 #: Word hashes that a worker process remembers.
@@ -93,94 +98,151 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def listed(reps: DataFrame, k: int = K) -> DataFrame:
-    """(doc, value): the inverted lists, of (doc, n, sketch)."""
+    """(doc, value, common): the inverted lists of (doc, n, sketch); common: how frequent the document's sketch values are on average."""
     full = k * TOP // BOTTOM  # up to here a partner's sketch is whole, too
     values = reps.select("doc", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     met = values.join(often, "value")
     need = F.when(F.col("n") <= full, F.ceil(F.col("n") * TOP / BOTTOM)).otherwise(F.lit(OVERLAP))
-    spare = (F.col("kept") - need + 1 - (F.col("kept") - F.size("met"))).cast("int")
-    each = met.groupBy("doc", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("met"))
-    each = each.where(spare > 0).select("doc", F.explode(F.slice("met", 1, F.greatest(spare, F.lit(1)))).alias("x"))
-    return each.select("doc", F.col("x.value").alias("value"))
-
-
-def likely(pairs: DataFrame, reps: DataFrame, k: int = K) -> DataFrame:
-    """The pairs (u, v) whose union sketch does not rule the similarity out."""
-    side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    union = F.slice(F.array_sort(F.array_union("s_u", "s_v")), 1, k)
-    near = TOP / BOTTOM
-    rows = pairs.join(side("u"), "u").join(side("v"), "v")
-    rows = rows.where((F.col("n_u") * BOTTOM >= F.col("n_v") * TOP) & (F.col("n_v") * BOTTOM >= F.col("n_u") * TOP))
-    rows = rows.select("u", "v", union.alias("union"), F.array_intersect("s_u", "s_v").alias("both"))
-    m, common = F.size("union"), F.size(F.array_intersect("union", "both"))
-    # A union sketch of fewer than k values is the whole union: no error.
-    error = F.when(m < k, F.lit(1e-9)).otherwise(SLACK * F.sqrt(F.lit(near * (1 - near)) / m))
-    return rows.where(common / m >= near - error).select("u", "v").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    spark = pairs.sparkSession
-    ids = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spare = (F.size("met") - need + 1).cast("int")
+    each = met.groupBy("doc", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("met"), (F.sum("df") / F.col("kept")).alias("common"))
+    each = each.where(spare > 0).select("doc", "common", F.explode(F.slice("met", 1, F.greatest(spare, F.lit(1)))).alias("x"))
+    return each.select("doc", "common", F.col("x.value").alias("value"))
+
+
+def at_hubs(lists: DataFrame) -> DataFrame:
+    """(hub, doc): the members of every list at the list's hub."""
+    hub = lists.groupBy("value").agg(F.min(F.struct((-F.col("common")).alias("c"), F.col("doc"))).alias("x"), F.count("*").alias("n")).where("n > 1")
+    return lists.join(hub.select("value", F.col("x.doc").alias("hub")), "value").select("hub", "doc").distinct()
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, n, set) of the documents that ids (doc) names; the set's hashes ascending, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([shingles(t).tobytes() for t in bytes_of(b.column("text"))], pa.binary())], names=["doc", "set"])
+            sets = [shingles(t) for t in bytes_of(b.column("text"))]
+            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n": pa.array([len(s) for s in sets], pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    # The ids grow with the documents: no broadcast, whatever their number.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ids.hint("merge"), "doc", "left_semi")
+    return texts.mapInArrow(run, "doc long, n long, set binary").where("n > 0")
+
+
+def _union_estimates(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of sketches (padded with the highest value): values of the union sketch that both have, and its size."""
+    both = np.sort(np.concatenate((x, y), axis=1), axis=1)
+    real = both < np.uint64(2**64 - 1)
+    new = np.concatenate((np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]), axis=1) & real
+    nth = np.cumsum(new, axis=1)
+    twice = np.concatenate((np.zeros((len(both), 1), bool), both[:, 1:] == both[:, :-1]), axis=1) & real & (nth <= k)
+    return twice.sum(1), np.minimum(nth[:, -1], k)
+
+
+def _products(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections."""
+    size = np.array([len(s) for s in sets])
+    value, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(number, minlength=len(value)) > 1
+    number, owner = (np.cumsum(shared) - 1)[number[shared[number]]], owner[shared[number]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        lo, hi = np.searchsorted(number, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], number[lo:hi] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, k: int = K) -> list[tuple[int, int]]:
+    """Links that join the similar ones of some documents; side: 0 and 1 for two blocks of which only pairs across count, else all 0."""
+    size = np.array([len(s) for s in sets])
+    a, b = np.triu_indices(len(ids), 1)
+    fit = (size[a] * BOTTOM >= size[b] * TOP) & (size[b] * BOTTOM >= size[a] * TOP) & (ids[a] != ids[b])
+    if side.any():
+        fit &= side[a] != side[b]
+    a, b = a[fit], b[fit]
+    if not len(a):
+        return []
+    sketch = np.full((len(ids), k), 2**64 - 1, np.uint64)
+    for row, s in zip(sketch, sets, strict=True):
+        row[: min(k, len(s))] = s[:k]
+    near, keep = TOP / BOTTOM, []
+    for at in range(0, len(a), 20_000):
+        common, m = _union_estimates(sketch[a[at : at + 20_000]], sketch[b[at : at + 20_000]], k)
+        error = np.where(m < k, 1e-9, SLACK * np.sqrt(near * (1 - near) / m))  # a smaller union sketch is the union
+        keep.append(common / m >= near - error)
+    keep = np.concatenate(keep)
+    a, b = a[keep], b[keep]
+    if len(a) > 50:
+        used = np.unique(np.concatenate((a, b)))
+        inter = _products([sets[i] for i in used])[np.searchsorted(used, a), np.searchsorted(used, b)].astype(np.int64)
+    else:
+        inter = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+    ok = BOTTOM * inter >= TOP * (size[a] + size[b] - inter)
+    root, out = list(range(len(ids))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ids, "doc", "left_semi")
-    sets = staged(texts.mapInArrow(whole, "doc long, set binary"), "sets")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links of the members (hub, doc) of each hub."""
+    rows = members.join(sets.select("doc", "n"), "doc")
+    size = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    rows = members.join(size, "hub").select("hub", "doc", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc")
+    rows = rows.join(sets, "doc").select("hub", "i", "j", "side", "doc", "set").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    small_batches(members.sparkSession, 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            found = linked(np.array([h[1] for h in held], np.int64), [np.frombuffer(h[2], np.uint64) for h in held], np.array([h[0] for h in held]))
+            return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate((x, y)))
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(inter > 0 and BOTTOM * inter >= TOP * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            c = [b.column(i).to_pylist() for i in range(6)]
+            for *now, side, doc, s in zip(*c, strict=True):
+                if now != key:
+                    if len(held) > 1:
+                        yield done()
+                    key, held = now, []
+                held.append((side, doc, s))
+        if len(held) > 1:
+            yield done()
 
-    small_batches(spark, 500)
-    rows = pairs.join(sets.select(F.col("doc").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("doc").alias("v"), F.col("set").alias("y")), "v")
-    return rows.mapInArrow(compare, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     sk = staged(sketches(docs), "sketches")
-    equal = sk.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    equal = staged(equal.where("rep is not null"), "equal-sets")
-    # A copy of a representative's row with another set is told apart by the set.
+    equal = sk.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    equal = staged(equal, "equal-sets")
+    # Rows of a representative's doc_id with another set are told apart by the set.
     reps = sk.join(equal.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    reps = staged(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch").distinct(), "representatives")
-    lists = staged(listed(reps), "lists")
-
-    links, comp, rest = None, None, lists.select("value", "doc", F.col("doc").alias("comp"))
-    for turn in range(ROUNDS + 1):
-        spread = rest.groupBy("value").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)), F.col("doc"), F.col("comp"))).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-        spread = spread.where("a < b").select("value", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        if turn < ROUNDS:
-            pairs = rest.join(spread, "value").where("comp <> pivot_comp").select(F.least("doc", "pivot").alias("u"), F.greatest("doc", "pivot").alias("v"))
-        else:  # all that is left
-            open_ = rest.join(spread.select("value"), "value", "left_semi")
-            pairs = open_.join(open_.select("value", F.col("doc").alias("other"), F.col("comp").alias("other_comp")), "value").where("comp < other_comp").select(F.least("doc", "other").alias("u"), F.greatest("doc", "other").alias("v"))
-        pairs = staged(likely(pairs.distinct(), reps), "pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue  # other pivots may still find some
-            break
-        found = staged(confirmed(pairs, docs), "found")
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-        if turn < ROUNDS:
-            rest = staged(lists.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("value", "doc", F.coalesce("component", "doc").alias("comp")), "members")
-
+    lists = staged(listed(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch").distinct()), "lists")
+    members = staged(at_hubs(lists), "members")
+    sets = staged(whole_sets(docs, members.select("doc").distinct()), "sets")
+    comp = components(links(members, sets))
     out = sk.join(equal, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    if links is not None:
-        out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        out = out.withColumnRenamed("rep", "component_id")
+    out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -10,6 +10,8 @@ from .common import LOWER
 #: Words whose ids are remembered by a worker process; the memory is emptied when full.
 REMEMBERED = 400_000
 #: Pieces that the pre-tokenizer parts in any case: runs between blanks, and of those a word of plain small letters and one stop after it.
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+PLAIN = re.compile(r"[a-zà-öø-ÿ]++")
 PIECE = re.compile(r"[a-zà-öø-ÿ]++(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|[^ \n]++")
 
 
@@ -33,6 +35,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # A word of plain letters passes the normalizer as it is and stays in one part; its letters as the model sees them:
+        self.seen_as = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def ids(self, text: bytes) -> bytes:
@@ -46,8 +50,14 @@ class Encoder:
             if len(known) > REMEMBERED:
                 known.clear()
                 new = list(set(pieces))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
+            model, seen_as, rest = self.tokenizer.model, self.seen_as, []
+            for x in new:
+                if PLAIN.fullmatch(x):
+                    known[x] = np.array([t.id for t in model.tokenize(x.translate(seen_as))], "<u4").tobytes()
+                else:
+                    rest.append(x)
+            for at in range(0, len(rest), 20_000):
+                part = rest[at : at + 20_000]
                 for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     known[piece] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, pieces))
