@@ -1,10 +1,10 @@
 """The registered queries of the training-data operators, and their SQL."""
 
-from .decontaminate import op2_decontaminate
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .fingerprint import op1_fingerprint
 from .langid import op7_langid
 from .lm import op3_lm
-from .neardup import op6_neardup
+from .neardup import OP6_SQL, op6_neardup
 from .packing import op9_packing
 from .pii import op10_pii
 from .preference import OP4_SQL, op4_preference
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op4_preference": OP4_SQL, "op8_urlfilter": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_preference": OP4_SQL, "op6_neardup": OP6_SQL, "op8_urlfilter": OP8_SQL}
