@@ -10,7 +10,6 @@ from .common import Area, r, rounded
 
 area = Area()
 W = 40
-C = F.col("close")
 W_SQL = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
 SERIES = "s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS x FROM bars_1h)"
 #: AR(1) of the W closes before, as aggregates over the frame of W - 1 pairs.
@@ -22,6 +21,10 @@ AR1 = f"""{SERIES}, m AS (
 ), c AS (SELECT *, sqrt(greatest(vy - 2 * phi * cxy + phi * phi * vx + (ay - b0 - phi * ax) * (ay - b0 - phi * ax), 0)) AS sigma FROM a)"""
 
 
+def close():
+    return F.col("close")
+
+
 def hourly(spark, sf_dir):
     return fx.bars(spark, sf_dir)
 
@@ -33,21 +36,21 @@ def indexed(spark, sf_dir):
 @area.add(f"{fx.with_('bars_1h')} SELECT symbol, ts, round(close - lag(close) OVER w, 6) AS change, round(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), 6) AS true_range FROM bars_1h {W_SQL}")
 def true_range(spark, sf_dir):
     """Change and true range."""
-    return hourly(spark, sf_dir).select("symbol", "ts", r(C - ro.previous(C)).alias("change"), r(ro.true_range(F.col("high"), F.col("low"), C)).alias("true_range"))
+    return hourly(spark, sf_dir).select("symbol", "ts", r(close() - ro.previous(close())).alias("change"), r(ro.true_range(F.col("high"), F.col("low"), close())).alias("true_range"))
 
 
 @area.add(f"""{fx.with_('bars_1h')} SELECT symbol, ts, round(CASE WHEN count(*) OVER p = 20 THEN max(close) OVER p END, 6) AS hi, round(CASE WHEN count(*) OVER p = 20 THEN min(close) OVER p END, 6) AS lo
  FROM bars_1h WINDOW p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def donchian_bands(spark, sf_dir):
     """Highest and lowest of twenty closes before."""
-    return hourly(spark, sf_dir).select("symbol", "ts", r(ro.highest(C, 20)).alias("hi"), r(ro.lowest(C, 20)).alias("lo"))
+    return hourly(spark, sf_dir).select("symbol", "ts", r(ro.highest(close(), 20)).alias("hi"), r(ro.lowest(close(), 20)).alias("lo"))
 
 
 @area.add(f"""{fx.with_('bars_1h')} SELECT symbol, ts, round(CASE WHEN count(*) OVER p = 20 THEN stddev_samp(close) OVER p END, 6) AS vol
  FROM bars_1h WINDOW p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def rolling_vol(spark, sf_dir):
     """Deviation of twenty closes before."""
-    return hourly(spark, sf_dir).select("symbol", "ts", r(ro.volatility(C)).alias("vol"))
+    return hourly(spark, sf_dir).select("symbol", "ts", r(ro.volatility(close())).alias("vol"))
 
 
 @area.add(f"""{fx.with_('bars_1h')} SELECT symbol, ts, round(CASE WHEN high > low THEN (least(open, close) - low) / (high - low) END, 6) AS wick,
@@ -55,14 +58,14 @@ def rolling_vol(spark, sf_dir):
 def wick_ratio_volume_climax(spark, sf_dir):
     """Lower wick, and volume against the mean before."""
     rows = hourly(spark, sf_dir)
-    return rows.select("symbol", "ts", r(ro.wick(F.col("open"), F.col("high"), F.col("low"), C)).alias("wick"), r(F.col("volume") / ro.mean(F.col("volume"), 20)).alias("climax"))
+    return rows.select("symbol", "ts", r(ro.wick(F.col("open"), F.col("high"), F.col("low"), close())).alias("wick"), r(F.col("volume") / ro.mean(F.col("volume"), 20)).alias("climax"))
 
 
 @area.add(f"""{fx.with_('bars_1h')}, {AR1} SELECT symbol, ts, round(mu, 7) AS mu, round(phi, 4) AS phi, round(sigma, 4) AS sigma, round(-ln(phi), 4) AS theta, round(sigma / sqrt(greatest(-2 * ln(phi), 1e-12)), 3) AS sigma_stat, round(ln(2) / -ln(phi), 3) AS half_life FROM c""")
 def rolling_ar1(spark, sf_dir):
     """AR(1) calibration of forty closes before, and what follows from it."""
     rows = indexed(spark, sf_dir)
-    a = ro.ar1(C, W)
+    a = ro.ar1(close(), W)
     rows = rows.select("symbol", "ts", "idx", *(v.alias(k) for k, v in a.items())).where(F.col("idx") >= W)
     phi, sigma = F.col("phi"), F.col("sigma")
     return rows.select("symbol", "ts", r("mu", 7).alias("mu"), r("phi", 4).alias("phi"), r("sigma", 4).alias("sigma"), r(ro.theta(phi), 4).alias("theta"), r(ro.stationary_sigma(sigma, phi), 3).alias("sigma_stat"), r(ro.half_life(phi), 3).alias("half_life"))
@@ -71,7 +74,7 @@ def rolling_ar1(spark, sf_dir):
 @area.add(f"""{fx.with_('bars_1h')}, {SERIES} SELECT symbol, ts, round(regr_slope(close, idx) OVER p, 4) AS velocity FROM s WINDOW p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {W} PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER p = {W}""")
 def trend_velocity(spark, sf_dir):
     """Slope of forty closes before."""
-    rows = indexed(spark, sf_dir).select("symbol", "ts", r(ro.velocity(C, F.col("idx"), W), 4).alias("velocity"))
+    rows = indexed(spark, sf_dir).select("symbol", "ts", r(ro.velocity(close(), F.col("idx"), W), 4).alias("velocity"))
     return rows.where("velocity is not null")
 
 
@@ -81,8 +84,8 @@ FRAMES = f"""{AR1}, l AS (SELECT *, list(close) OVER f AS xs FROM s WINDOW f AS
 
 def _frames(spark, sf_dir):
     rows = indexed(spark, sf_dir)
-    a = ro.ar1(C, W)
-    rows = rows.select("symbol", "ts", "idx", a["phi"].alias("phi"), a["mu"].alias("mu"), ro.frame(C, W).alias("xs")).where(F.col("idx") >= W)
+    a = ro.ar1(close(), W)
+    rows = rows.select("symbol", "ts", "idx", a["phi"].alias("phi"), a["mu"].alias("mu"), ro.frame(close(), W).alias("xs")).where(F.col("idx") >= W)
     return rows.withColumn("e", ro.residuals(F.col("xs"), F.col("phi"), F.col("mu")))
 
 
@@ -110,7 +113,7 @@ def residual_quantiles(spark, sf_dir):
 @area.add(f"""{fx.with_('bars_1h')}, {AR1}, g AS (SELECT *, last_value(CASE WHEN (idx - {W}) % 5 = 0 THEN phi END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS held FROM c) SELECT symbol, ts, round(held, 4) AS phi FROM g""")
 def recalib_hold(spark, sf_dir):
     """A calibration held for five bars."""
-    rows = indexed(spark, sf_dir).select("symbol", "ts", "idx", ro.ar1(C, W)["phi"].alias("phi"))
+    rows = indexed(spark, sf_dir).select("symbol", "ts", "idx", ro.ar1(close(), W)["phi"].alias("phi"))
     return rows.select("symbol", "ts", "idx", r(ro.held(F.col("phi"), F.col("idx"), W, 5), 4).alias("phi")).where(F.col("idx") >= W).drop("idx")
 
 
@@ -119,7 +122,7 @@ def recalib_hold(spark, sf_dir):
  SELECT symbol, ts, round(ln((list_max(y) - list_min(y)) / sd) / ln(20), 5) AS hurst FROM y""")
 def hurst(spark, sf_dir):
     """Rescaled range of twenty differences."""
-    return indexed(spark, sf_dir).select("symbol", "ts", r(ro.hurst(C, 20), 5).alias("hurst")).where("hurst is not null")
+    return indexed(spark, sf_dir).select("symbol", "ts", r(ro.hurst(close(), 20), 5).alias("hurst")).where("hurst is not null")
 
 
 @area.add(f"""{fx.with_('bars_1h')}, v AS (SELECT symbol, ts, (high - low) / close AS v FROM bars_1h WHERE close > 0 AND high > low), q AS (SELECT symbol, quantile_cont(v, 0.33) AS a, quantile_cont(v, 0.67) AS b FROM v GROUP BY symbol),
@@ -127,7 +130,7 @@ def hurst(spark, sf_dir):
  SELECT symbol, state, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, CAST(sum(CASE WHEN next = 0 THEN 1 ELSE 0 END) AS BIGINT) AS to_0, CAST(sum(CASE WHEN next = 1 THEN 1 ELSE 0 END) AS BIGINT) AS to_1, CAST(sum(CASE WHEN next = 2 THEN 1 ELSE 0 END) AS BIGINT) AS to_2 FROM n GROUP BY 1, 2""")
 def hmm_calibrate(spark, sf_dir):
     """Volatility buckets, their emissions and transition counts."""
-    v = hourly(spark, sf_dir).where("close > 0 and high > low").select("symbol", "ts", ((F.col("high") - F.col("low")) / C).alias("v"))
+    v = hourly(spark, sf_dir).where("close > 0 and high > low").select("symbol", "ts", ((F.col("high") - F.col("low")) / close()).alias("v"))
     q = v.groupBy("symbol").agg(F.percentile("v", F.lit(0.33)).alias("a"), F.percentile("v", F.lit(0.67)).alias("b"))
     s = v.join(q, "symbol").withColumn("state", (F.col("v") >= F.col("a")).cast("int") + (F.col("v") >= F.col("b")).cast("int"))
     s = s.withColumn("next", F.lead("state").over(ro.order()))
