@@ -124,68 +124,80 @@ def blocks_of(benchmark: DataFrame, window: int = WINDOW) -> list:
     return [*out, sc.broadcast(Block(items, window))] if items or not out else out
 
 
+def judged(texts: list[list[bytes]], blocks: list, window: int = WINDOW) -> dict[str, object]:
+    """One shard: for each document, words, words hit, items met, and its longest verbatim match."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.concatenate(([0], np.cumsum(sizes + 1)))  # a 0 ends each document
+    hit = np.zeros(starts[-1] + 1, np.int64)
+    longest, longest_item, longest_at = np.zeros(len(texts), np.int64), [None] * len(texts), [None] * len(texts)
+    items: list[set[str]] = [set() for _ in texts]
+    for broadcast in blocks:
+        block = broadcast.value
+        get, numbers = block.vocabulary.get, np.zeros(starts[-1], np.int32)
+        for t, s in zip(texts, starts, strict=False):
+            numbers[s : s + len(t)] = np.fromiter((get(w, 0) for w in t), np.int32, len(t))
+        sa = suffix_array(numbers, block.depth)
+        length, lo, hi, found = search(numbers, sa, block)
+        for q, places in found:
+            np.add.at(hit, places, 1)
+            np.add.at(hit, places + block.window[q], -1)
+            for d in np.unique(np.searchsorted(starts, places, "right") - 1):
+                items[d].add(block.ids[block.item[q]])
+        for q in np.argsort(-length, kind="stable"):
+            if length[q] < window:
+                break
+            places = sa[lo[q] : hi[q]]
+            doc = np.searchsorted(starts, places, "right") - 1
+            for d, p in zip(*np.unique(doc, return_index=True), strict=True):
+                if length[q] > longest[d]:
+                    longest[d], longest_item[d], longest_at[d] = length[q], block.ids[block.item[q]], int(places[p] - starts[d])
+    inside = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
+    return {"n_words": sizes, "n_hit": inside[starts[1:] - 1] - inside[starts[:-1]], "items": items, "longest": longest, "longest_item": longest_item, "longest_at": longest_at}
+
+
+def shards(texts: Iterator[bytes]) -> Iterator[list[list[bytes]]]:
+    """The words of texts in runs of SHARD_WORDS or a little more."""
+    held, size = [], 0
+    for t in texts:
+        held.append(words(t))
+        size += len(held[-1])
+        if size >= SHARD_WORDS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted ids), longest (words of the longest verbatim match), longest_item, longest_at (its first word here). No shuffle."""
     small_batches(docs.sparkSession)
     blocks = blocks_of(benchmark, window)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def judged(ids: list, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)))  # a 0 ends each document
-        hit = np.zeros(starts[-1] + 1, np.int64)
-        longest, longest_item, longest_at = np.zeros(len(ids), np.int64), [None] * len(ids), [None] * len(ids)
-        items: list[set[str]] = [set() for _ in ids]
-        for broadcast in blocks:
-            block = broadcast.value
-            get, numbers = block.vocabulary.get, np.zeros(starts[-1], np.int32)
-            for t, s in zip(texts, starts, strict=False):
-                numbers[s : s + len(t)] = np.fromiter((get(w, 0) for w in t), np.int32, len(t))
-            sa = suffix_array(numbers, block.depth)
-            length, lo, hi, found = search(numbers, sa, block)
-            for q, places in found:
-                np.add.at(hit, places, 1)
-                np.add.at(hit, places + block.window[q], -1)
-                for d in np.unique(np.searchsorted(starts, places, "right") - 1):
-                    items[d].add(block.ids[block.item[q]])
-            for q in np.argsort(-length, kind="stable"):
-                if length[q] < window:
-                    break
-                places = sa[lo[q] : hi[q]]
-                doc = np.searchsorted(starts, places, "right") - 1
-                for d, p in zip(*np.unique(doc, return_index=True), strict=True):
-                    if length[q] > longest[d]:
-                        longest[d], longest_item[d], longest_at[d] = length[q], block.ids[block.item[q]], int(places[p] - starts[d])
-        inside = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
-        n_hit = inside[starts[1:] - 1] - inside[starts[:-1]]
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, type_), "n_words": sizes, "n_hit": n_hit, "n_items": pa.array([len(x) for x in items], pa.int64()), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "longest": longest, "longest_item": pa.array(longest_item, pa.string()), "longest_at": pa.array(longest_at, pa.int64())})
-
-    type_ = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), bytes_of(b.column("text")), strict=True):
-                ids.append(i)
-                texts.append(words(t))
-                size += len(texts[-1])
-                if size >= SHARD_WORDS:
-                    yield from judged(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield from judged(ids, texts)
+            done = 0
+            for texts in shards(bytes_of(b.column("text"))):
+                x = judged(texts, blocks, window)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(done, len(texts)), "n_words": x["n_words"], "n_hit": x["n_hit"], "n_items": pa.array([len(i) for i in x["items"]], pa.int64()), "items": pa.array([sorted(i) for i in x["items"]], pa.list_(pa.string())), "longest": x["longest"], "longest_item": pa.array(x["longest_item"], pa.string()), "longest_at": pa.array(x["longest_at"], pa.int64())})
+                done += len(texts)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, longest long, longest_item string, longest_at long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no window of any item, all columns kept.
+    """The rows of docs that hold no window of any item, all columns kept, each row judged by itself. No shuffle."""
+    small_batches(docs.sparkSession)
+    blocks = blocks_of(benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep: list[bool] = []
+            for texts in shards(bytes_of(b.column("text"))):
+                keep += (judged(texts, blocks, window)["n_hit"] == 0).tolist()
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    The judgement is made from (doc_id, text) and joined back by doc_id, so
-    rows with one id stand or fall together; rows without an id are kept.
-    """
-    bad = contamination(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,48 +165,67 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH) -> np.n
     return out
 
 
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
+
+
+def judged(texts: list[bytes], model: dict, switch: float = SWITCH) -> tuple[list[str], np.ndarray, pa.Array]:
+    """Language, score and spans of each text."""
+    langs, w = model["langs"], Words(texts)
+    pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+    bounds, spans = np.zeros(len(texts) + 1, np.int32), pa.array([], SPAN)
+    if len(langs) and len(w.begin):
+        at = w.places()
+        begin = np.searchsorted(at, w.begin)
+        s = np.add.reduceat(model["logp"][w.feature[at]], begin, axis=0)
+        allowed = model["scripts"].T[w.script]
+        s = np.where(allowed | ~allowed.any(1, keepdims=True), s, np.float32(-1e6))
+        label = viterbi(s, w.doc, switch)
+        letters = np.zeros((len(texts), len(langs)))
+        np.add.at(letters, (w.doc, label), w.end - w.begin)
+        some = letters.sum(1) > 0
+        pred = np.where(some, letters.argmax(1), -1)
+        score = letters.max(1) / np.maximum(letters.sum(1), 1)
+        new = np.flatnonzero(np.concatenate(([True], (w.doc[1:] != w.doc[:-1]) | (label[1:] != label[:-1]))))
+        last = np.concatenate((new[1:], [len(label)])) - 1
+        base = w.base[w.doc[new]]
+        spans = pa.StructArray.from_arrays([pa.array(w.begin[new] - base), pa.array(w.end[last] - base), pa.array([langs[i] for i in label[new]], pa.string())], fields=list(SPAN))
+        bounds = np.searchsorted(w.doc[new], np.arange(len(texts) + 1)).astype(np.int32)
+    return [langs[i] if i >= 0 else UNKNOWN for i in pred], score, pa.ListArray.from_arrays(pa.array(bounds), spans)
+
+
 def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     """(doc_id, lang_pred, score, spans: start, end, lang in code points) of every row of docs (doc_id, text). No shuffle."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
-
-    def judged(texts: list[bytes]) -> tuple[list[str], np.ndarray, pa.Array]:
-        model = shared.value
-        langs, w = model["langs"], Words(texts)
-        pred, score = np.full(len(texts), -1), np.zeros(len(texts))
-        bounds, spans = np.zeros(len(texts) + 1, np.int32), pa.array([], span)
-        if len(langs) and len(w.begin):
-            at = w.places()
-            begin = np.searchsorted(at, w.begin)
-            s = np.add.reduceat(model["logp"][w.feature[at]], begin, axis=0)
-            allowed = model["scripts"].T[w.script]
-            s = np.where(allowed | ~allowed.any(1, keepdims=True), s, np.float32(-1e6))
-            label = viterbi(s, w.doc, switch)
-            letters = np.zeros((len(texts), len(langs)))
-            np.add.at(letters, (w.doc, label), w.end - w.begin)
-            some = letters.sum(1) > 0
-            pred = np.where(some, letters.argmax(1), -1)
-            score = letters.max(1) / np.maximum(letters.sum(1), 1)
-            new = np.flatnonzero(np.concatenate(([True], (w.doc[1:] != w.doc[:-1]) | (label[1:] != label[:-1]))))
-            last = np.concatenate((new[1:], [len(label)])) - 1
-            base = w.base[w.doc[new]]
-            spans = pa.StructArray.from_arrays([pa.array(w.begin[new] - base), pa.array(w.end[last] - base), pa.array([langs[i] for i in label[new]], pa.string())], fields=list(span))
-            bounds = np.searchsorted(w.doc[new], np.arange(len(texts) + 1)).astype(np.int32)
-        return [langs[i] if i >= 0 else UNKNOWN for i in pred], score, pa.ListArray.from_arrays(pa.array(bounds), spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = 0
             for part in chunks(bytes_of(b.column("text"))):
-                pred, score, spans = judged(part)
+                pred, score, spans = judged(part, shared.value, switch)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(part)), pa.array(pred, pa.string()), pa.array(score), spans], names=["doc_id", "lang_pred", "score", "spans"])
                 done += len(part)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
 
 
+def of_one_language(docs: DataFrame, model: dict, share: float, switch: float = SWITCH) -> DataFrame:
+    """The rows of docs of which one language has that share of the letters, all columns kept, each row judged by itself. No shuffle."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep: list[bool] = []
+            for part in chunks(bytes_of(b.column("text"))):
+                pred, score, _ = judged(part, shared.value, switch)
+                keep += [p != UNKNOWN and s >= share for p, s in zip(pred, score, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
