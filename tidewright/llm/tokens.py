@@ -8,7 +8,7 @@ import re
 from .common import LOWER
 
 #: Words whose ids are remembered by a worker process; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Pieces that the pre-tokenizer parts in any case: runs between blanks, and of those a word of plain small letters and one stop after it.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 PLAIN = re.compile(r"[a-zà-öø-ÿ]++")
