@@ -399,3 +399,22 @@ def test_pipeline(spark, odd, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = staged(stage(spark, empty, SF), f"empty-{name}")
     assert empty.count() == 0
+
+
+def test_op3_keeps_every_node(spark, monkeypatch):
+    """More nodes of a depth than 2**12, in several blocks: every score is that of the whole tree."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400)) for _ in range(30)]
+    monkeypatch.setattr(lm, "BLOCK", 3000, raising=False)
+    p = tree_by_hand([lm.tokens(t.encode()) for t in texts[:25]], 3)
+    df = docs_of(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["score"] for r in lm.scores(df, df.where("doc_id < 25"), depth=3, bits=12).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = 0.0
+        for g in lm.grams([lm.tokens(t.encode())], 3)[0].tolist():
+            byte, ctx = g & 255, g >> 8
+            for j in range(8):
+                q = p(ctx, 1 << j | byte >> 8 - j)
+                want += np.log10(q if byte >> 7 - j & 1 else 1 - q)
+        assert abs(got[i] - want) < 1e-5 * abs(want)

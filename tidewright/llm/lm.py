@@ -14,11 +14,13 @@ the weights mix the estimates (b + 1/2) / (a + b + 1) of all depths. A path
 ends at the deepest node that training has seen.
 
 Counting, weighting and mixing are Spark aggregations and joins over the
-contexts of all training texts, level by level. For scoring, each depth's
-mixed predictions are laid into a table of at most 2**TABLE_BITS slots (prediction and
-a 16-bit tag); where two nodes meet in a slot the one seen more often stays
-and the other's path ends one byte earlier, so tables that reach the tasks
-are bounded and every prediction stays a probability.
+contexts of all training texts, level by level. Nodes that only the texts to
+score meet are in the tree with no counts and take their parent's prediction,
+so the deepest level answers for every gram to score. Scoring is exact and
+sends no model to the tasks: texts are dealt to blocks of BLOCK bytes, the
+distinct grams of each block meet the deepest nodes by buckets of contexts, and
+their logs come back to the block, where they are summed for each text. The
+number of buckets grows with the texts.
 
 The base score is a unigram model over tokens. Counts of tokens are joined;
 only those of the most frequent ones, at most FREQUENT, are sent to the tasks.
@@ -44,10 +46,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, bytes_of, small_batches, staged, table
 
-DEPTH, TABLE_BITS, MEMO_BITS, FREQUENT = 5, 22, 21, 200_000
-CHUNK, REMEMBERED, HELD = 1_000_000, 200_000, 1_500_000
+DEPTH, MEMO_BITS, FREQUENT = 5, 21, 200_000
+CHUNK, BLOCK, REMEMBERED, HELD = 1_000_000, 16_000_000, 200_000, 1_500_000
 END = b"\n"
-MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+MIX, SPREAD = 0x9E3779B97F4A7C15, 0x5BD1E9
 
 
 class _TokenHashes(dict):
@@ -153,11 +155,11 @@ def _log_gamma(x: Column) -> Column:
 
 def log_kt(a: Column, b: Column) -> Column:
     """log P_kt of a zeros and b ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
+    return F.when(a + b == 0, 0.0).otherwise(_log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi))
 
 
-def tree(counts: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame], list[int]]:
-    """For each depth (ctx, node, a, b, p): counts, and the probability of a one where the path ends there; and the number of nodes. From (key, n) of grams."""
+def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(ctx, node, p) of the deepest level: the probability of a one where training has seen the node, else that of its deepest ancestor seen. From (key, n) of grams, n 0 for grams that are only to be scored."""
     byte = F.col("key").bitwiseAND(255)
     j = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
     bits = counts.select(F.shiftright("key", 8).alias("ctx"), byte.alias("byte"), "n", j)
@@ -176,117 +178,196 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame], list[i
         up = up.withColumn("log_w", top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("below") - top)))
         levels.insert(0, staged(up.select("ctx", "node", "a", "b", "log_w", F.exp(F.col("own") - F.col("log_w")).alias("weight")), f"tree-{d}"))
     kt = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
-    out, above, sizes = [], None, [level.count() for level in levels]  # of written tables
+    above = None
     for d, level in enumerate(levels):
         rows = level.select("ctx", "node", "a", "b", "weight", kt.alias("kt"))
         if above is None:
-            rows = rows.select("*", F.lit(0.0).alias("done"), F.lit(1.0).alias("rest"))
+            rows = rows.select("*", F.lit(0.0).alias("done"), F.lit(1.0).alias("rest"), F.lit(0.5).alias("outer"))
         else:
             rows = rows.withColumn("parent", F.col("ctx").bitwiseAND((1 << 8 * (d - 1)) - 1)).join(above, ["parent", "node"])
-        p = (F.col("done") + F.col("rest") * F.col("kt")).alias("p")
+        rows = rows.withColumn("p", F.when(F.col("a") + F.col("b") == 0, F.col("outer")).otherwise(F.col("done") + F.col("rest") * F.col("kt")))
         if d < depth:  # the last level is read once, and not by another
-            rows = staged(rows.select("ctx", "node", "a", "b", p, (F.col("done") + F.col("rest") * F.col("weight") * F.col("kt")).alias("done"), (F.col("rest") * (1 - F.col("weight"))).alias("rest")), f"mixed-{d}")
-            above = rows.select(F.col("ctx").alias("parent"), "node", "done", "rest")
-        out.append(rows.select("ctx", "node", "a", "b", p if d == depth else F.col("p")))
-    return out, sizes
+            rows = staged(rows.select(F.col("ctx").alias("parent"), "node", F.col("p").alias("outer"), (F.col("done") + F.col("rest") * F.col("weight") * F.col("kt")).alias("done"), (F.col("rest") * (1 - F.col("weight"))).alias("rest")), f"mixed-{d}")
+            above = rows
+    return rows.select("ctx", "node", "p")
 
 
-def slot_hash(ctx: np.ndarray, node: np.ndarray, depth: int) -> np.ndarray:
-    h = (ctx.astype(np.uint64) << np.uint64(8) | node.astype(np.uint64)) * np.uint64(MIX[0]) + np.uint64(depth)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(MIX[1])
-    return h ^ h >> np.uint64(32)
+def bucket_of(ctx: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a context; in Spark as bucket_column()."""
+    h = ctx * SPREAD  # 40 bits by 23
+    return (h ^ h >> 29) % buckets
 
 
-def tables(levels: list[DataFrame], sizes: list[int], bits: int = TABLE_BITS) -> list[np.ndarray]:
-    """For each depth the slots: prediction of a one in the low 16 bits, tag in the high ones; 0: empty. Depth 0 has a slot for each node."""
-    out = [np.zeros(256, np.uint32)]
-    for r in levels[0].select("node", "p").collect():  # at most 255
-        out[0][r["node"]] = min(65535, max(1, round(65536 * r["p"])))
+def bucket_column(ctx: Column, buckets: int) -> Column:
+    h = ctx * F.lit(SPREAD).cast("long")
+    return (h.bitwiseXOR(F.shiftright(h, 29)) % buckets).cast("int")
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys, as differences by byte planes."""
+    planes = np.ascontiguousarray(np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel())
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending grams by bucket, and where each bucket begins in it."""
+    bucket = bucket_of(keys >> 8, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
-    def placed(batches: Iterator[pa.RecordBatch], depth: int, mask: int) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = slot_hash(b.column("ctx").to_numpy(), b.column("node").to_numpy(), depth)
-            p = np.clip(np.round(65536 * b.column("p").to_numpy()), 1, 65535).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"slot": (h & np.uint64(mask)).astype(np.int64), "seen": b.column("seen"), "entry": (h >> np.uint64(48)).astype(np.int64) << 16 | p})
 
-    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
+def blocks(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Rows of two sorts: each text with its block (bucket null); and of each block and bucket the distinct grams."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block long, row long, doc_id {kind}, text string, bucket int, n int, grams binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        row, block, size, held, texts, taken = part << 40, part << 20, 0, [], [], 0
+
+        def seen() -> None:
+            nonlocal texts, taken
+            if texts:
+                held.append(np.unique(grams(texts, depth)[0]))
+                texts, taken = [], 0
+
+        def placed(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
+            nonlocal row
+            n = len(ids)
+            out = {"block": pa.array(np.full(n, block)), "row": np.arange(row, row + n), "doc_id": ids, "text": text, "bucket": pa.nulls(n, pa.int32()), "n": pa.nulls(n, pa.int32()), "grams": pa.nulls(n, pa.binary())}
+            row += n
+            return pa.RecordBatch.from_pydict(out)
+
+        def wanted(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
+            seen()
+            keys = np.unique(np.concatenate(held))
+            order, first = dealt(keys, buckets)
+            some = [k for k in range(buckets) if first[k] < first[k + 1]]
+            parts = [keys[order[first[k] : first[k + 1]]] for k in some]
+            n = len(some)
+            held.clear()
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array(np.full(n, block)), "row": pa.nulls(n, pa.int64()), "doc_id": pa.nulls(n, ids.type), "text": pa.nulls(n, text.type),
+                "bucket": pa.array(some, pa.int32()), "n": pa.array(list(map(len, parts)), pa.int32()), "grams": pa.array(list(map(packed, parts)), pa.binary()),
+            })
+
+        ids = None
         for b in batches:
-            slot, entry = b.column("slot").to_numpy(), b.column("entry").to_numpy()
-            for k in np.unique(slot >> 12):
-                own = parts.setdefault(int(k), np.zeros(4096, np.uint32))
-                mine = slot >> 12 == k
-                own[slot[mine] & 4095] = entry[mine]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(parts), pa.int64()), "slots": pa.array([x.tobytes() for x in parts.values()], pa.binary())})
-
-    for d, level in enumerate(levels[1:], 1):
-        # Twice as many slots as nodes, or as many as the bound allows.
-        own_bits = max(12, min(bits, math.ceil(math.log2(2 * max(1, sizes[d])))))
-        mask = (1 << own_bits) - 1
-        rows = level.select("ctx", "node", "p", (F.col("a") + F.col("b")).alias("seen")).mapInArrow(lambda it, d=d, mask=mask: placed(it, d, mask), "slot long, seen long, entry long")
-        best = rows.groupBy("slot").agg(F.max(F.struct("seen", "entry")).alias("x")).select("slot", F.col("x.entry").alias("entry"))
-        packs = best.repartition(F.shiftright("slot", 12)).mapInArrow(laid, "part long, slots binary")
-        own = np.zeros((1 << own_bits - 12, 4096), np.uint32)
-        for r in packs.toLocalIterator():  # 4 bytes a slot
-            own[r["part"]] = np.frombuffer(r["slots"], np.uint32)
-        out.append(own.ravel())
-    return out
-
-
-class Scorer:
-    """Log probabilities of grams; remembers those met before."""
-
-    def __init__(self, slots: list[np.ndarray]):
-        self.slots = slots
-        self.known, self.value = np.full(1 << MEMO_BITS, -1, np.int64), np.zeros(1 << MEMO_BITS, np.float32)
-
-    def fresh(self, g: np.ndarray) -> np.ndarray:
-        byte, out = g & 255, np.zeros(len(g))
-        for j in range(8):
-            node, one = 1 << j | byte >> 8 - j, byte >> 7 - j & 1
-            p = self.slots[0][node].astype(np.float64)
-            p[p == 0] = 32768
-            open_ = np.arange(len(g))
-            for d in range(len(self.slots) - 1, 0, -1):
-                h = slot_hash((g[open_] >> 8) & ((1 << 8 * d) - 1), node[open_], d)
-                e = self.slots[d][(h & np.uint64(len(self.slots[d]) - 1)).astype(np.int64)]
-                met = (e != 0) & (e >> np.uint32(16) == (h >> np.uint64(48)).astype(np.uint32))
-                p[open_[met]] = e[met] & np.uint32(65535)
-                open_ = open_[~met]
-                if not len(open_):
-                    break
-            out += np.log10(np.where(one == 1, p, 65536 - p) / 65536)
-        return out
+            ids, text, done = b.column("doc_id"), b.column("text"), 0
+            for i, t in enumerate(bytes_of(text), 1):
+                texts.append(tokens(t))
+                size, taken = size + len(t), taken + len(t)
+                if taken >= CHUNK:
+                    seen()
+                if size >= BLOCK:
+                    yield placed(ids.slice(done, i - done), text.slice(done, i - done))
+                    yield wanted(ids, text)
+                    done, size, block = i, 0, block + 1
+            if done < len(ids):
+                yield placed(ids.slice(done), text.slice(done))
+        if texts or held:
+            yield wanted(ids, text)
+
+    return staged(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "blocks")
+
+
+def looked_up(level: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, logs): the log probability of each gram of wanted (block, bucket, n, grams), in its order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            key, bucket, logit = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((key, bucket))
+            key, bucket, logit = key[order], bucket[order], logit[order]
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            return pa.RecordBatch.from_pydict({
+                "bucket": pa.array(bucket[cut[:-1]], pa.int32()), "n": pa.array(np.diff(cut), pa.int32()),
+                "nodes": pa.array([packed(key[i:j]) for i, j in spans], pa.binary()), "logits": pa.array([logit[i:j].tobytes() for i, j in spans], pa.binary()),
+            })
 
-    def logs(self, g: np.ndarray) -> np.ndarray:
-        at = (g.view(np.uint64) * np.uint64(MIX[0]) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        for b in batches:
+            held.append((b.column("key").to_numpy(), b.column("bucket").to_numpy(), b.column("logit").to_numpy()))
+            size += b.num_rows
+            if size >= HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def answer(nodes: pa.Table, asked: pa.Table) -> pa.Table:
+        sizes = asked.column("n").to_pylist()
+        if sizes:
+            parts = [(unpacked(k, n), np.frombuffer(x, np.float32)) for k, n, x in zip(nodes.column("nodes").to_pylist(), nodes.column("n").to_pylist(), nodes.column("logits").to_pylist(), strict=True)]
+            keys, logit = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys)
+            keys, logit = keys[order], logit[order].astype(np.float64)
+            g, back = np.unique(np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), sizes, strict=True)]), return_inverse=True)
+            logs, byte = np.zeros(len(g)), g & 255
+            for j in range(8):
+                at = np.searchsorted(keys, (g & ~255) | 1 << j | byte >> 8 - j)  # each is there
+                logs -= np.logaddexp(0, np.where(byte >> 7 - j & 1 == 1, -logit[at], logit[at]))
+            logs = (logs / math.log(10)).astype(np.float32)[back]
+        ends = np.cumsum([0, *sizes])
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "logs": pa.array([logs[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    key = F.shiftleft("ctx", 8).bitwiseOR(F.col("node").cast("long")).alias("key")
+    logit = (F.log("p") - F.log1p(-F.col("p"))).cast("float").alias("logit")
+    packs = level.select(key, bucket_column(F.col("ctx"), buckets).alias("bucket"), logit).mapInArrow(pack, "bucket int, n int, nodes binary, logits binary")
+    return packs.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(answer, "block long, bucket int, logs binary")
+
+
+class Memory:
+    """Log probabilities of grams met before, in 2**bits slots; others are found among a block's."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.known, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+
+    def logs(self, g: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        at = (g.view(np.uint64) * np.uint64(MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.value[at].astype(np.float64)
         missed = np.flatnonzero(self.known[at] != g)
         if len(missed):
-            new, back = np.unique(g[missed], return_inverse=True)
-            value = self.fresh(new)
-            out[missed] = value.astype(np.float32)[back]
+            out[missed] = logs[np.searchsorted(keys, g[missed])]
             self.known[at[missed]] = g[missed]
             self.value[at[missed]] = out[missed]
         return out
 
 
-_scorers: dict[str, Scorer] = {}
+_memories: dict[str, Memory] = {}
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 1, F.lit(False))
 
 
-def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int = TABLE_BITS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row of docs (doc_id, text), learning from training (text)."""
+def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int = MEMO_BITS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row of docs (doc_id, text), learning from training (text); workers remember 2**bits grams."""
     spark = docs.sparkSession
     small_batches(spark)
     counts = staged(counted(training, depth), "counts")
-    slots = tables(*tree(counts.where("gram").select("key", "n"), depth), bits)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(16, size // BLOCK) | 1
+    dealt_out = blocks(docs, depth, buckets)
+    wanted = dealt_out.where("bucket is not null").select("block", "bucket", "n", "grams")
+
+    def distinct(asked: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]))
+        return pa.table({"key": keys, "n": np.zeros(len(keys), np.int64)})
+
+    asked = wanted.select("bucket", "n", "grams").groupBy("bucket").applyInArrow(distinct, "key long, n long")
+    both = counts.where("gram").select("key", "n").unionAll(asked).groupBy("key").agg(F.sum("n").alias("n"))
+    found = looked_up(tree(both, depth), wanted, buckets)
     words = counts.where("not gram").select("key", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, distinct_tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The tokens of the highest powers of two, as many as FREQUENT allows, go to all tasks.
     room, least = FREQUENT, 62
     for r in sorted(words.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["power"]):
@@ -296,22 +377,20 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int =
     often = words.where(F.col("n") >= F.lit(1 << least)).toArrow()
     keys, n = often.column("key").to_numpy(), often.column("n").to_numpy()
     order = np.argsort(keys)
-    shared, name = spark.sparkContext.broadcast((slots, keys[order], n[order])), uuid.uuid4().hex
-    base = math.log10(total + 0.5 * (distinct + 1))
+    shared, name = spark.sparkContext.broadcast((keys[order], n[order])), uuid.uuid4().hex
+    base = math.log10(total + 0.5 * (distinct_tokens + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, keys, n = shared.value
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(slots)
-        scorer, row = _scorers[name], TaskContext.get().partitionId() << 40
+    def run(texts: pa.Table, logs: pa.Table) -> pa.Table:
+        keys, n = shared.value
+        if name not in _memories:
+            _memories.clear()
+            _memories[name] = Memory(bits)
+        memory, parts, done = _memories[name], [], 0
 
-        def judged(ids: pa.Array, texts: list[list[bytes]]) -> pa.RecordBatch:
-            nonlocal row
-            g, first = grams(texts, depth)
+        def judged(rows: pa.Table, texts: list[list[bytes]], g: np.ndarray, first: np.ndarray) -> pa.Table:
             ends = np.concatenate((first[1:], [len(g)]))
-            score = np.add.reduceat(scorer.logs(g), first)
+            score = np.add.reduceat(memory.logs(g, own, own_logs), first)
             sizes = np.array([len(t) + 1 for t in texts])
             h = np.concatenate([token_hashes(t) for t in texts])
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
@@ -320,22 +399,32 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int =
             begin = np.cumsum(sizes) - sizes
             left = h[~met]
             cut = np.concatenate(([0], np.cumsum(np.add.reduceat((~met).astype(np.int64), begin)))).astype(np.int32)
-            out = {"doc_id": ids, "row": np.arange(row, row + len(texts)), "n_tokens": sizes, "known": np.add.reduceat(met.astype(np.int64), begin), "base": np.add.reduceat(log, begin), "score": score, "n_bytes": ends - first, "left": pa.ListArray.from_arrays(pa.array(cut), pa.array(left))}
-            row += len(texts)
-            return pa.RecordBatch.from_pydict(out)
+            return pa.table({"doc_id": rows.column("doc_id"), "row": rows.column("row"), "n_tokens": sizes, "known": np.add.reduceat(met.astype(np.int64), begin), "base": np.add.reduceat(log, begin), "score": score, "n_bytes": ends - first, "left": pa.ListArray.from_arrays(pa.array(cut), pa.array(left))})
 
-        for b in batches:
-            done, texts, size = 0, [], 0
-            for t in bytes_of(b.column("text")):
-                texts.append(tokens(t))
+        def pieces() -> Iterator[tuple[int, list[list[bytes]]]]:
+            held, size, done = [], 0, 0
+            for t in (t for chunk in texts.column("text").chunks for t in bytes_of(chunk)):
+                held.append(tokens(t))
                 size += len(t)
                 if size >= CHUNK:
-                    yield judged(b.column("doc_id").slice(done, len(texts)), texts)
-                    done, texts, size = done + len(texts), [], 0
-            if texts:
-                yield judged(b.column("doc_id").slice(done, len(texts)), texts)
-
-    rows = staged(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, n_bytes long, left array<long>"), "scored")
+                    yield done, held
+                    held, size, done = [], 0, done + len(held)
+            if held:
+                yield done, held
+
+        # The block's grams in the order in which they were asked for.
+        own = np.unique(np.concatenate([np.unique(grams(held, depth)[0]) for _, held in pieces()]))
+        order, _ = dealt(own, buckets)
+        own_logs = np.empty(len(own), np.float32)
+        given = sorted(zip(logs.column("bucket").to_pylist(), logs.column("logs").to_pylist(), strict=True))
+        own_logs[order] = np.frombuffer(b"".join(x for _, x in given), np.float32)
+        for done, held in pieces():
+            parts.append(judged(texts.slice(done, len(held)), held, *grams(held, depth)))
+        return pa.concat_tables(parts)
+
+    texts = dealt_out.where("bucket is null").select("block", "row", "doc_id", "text")
+    rows = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, n_bytes long, left array<long>")
+    rows = staged(rows, "scored")
     rare = rows.select("row", F.explode("left").alias("key")).groupBy("row", "key").agg(F.count("*").alias("k"))
     rare = rare.join(words, "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("known_rare"),
