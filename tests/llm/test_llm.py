@@ -418,3 +418,23 @@ def test_op3_keeps_every_node(spark, monkeypatch):
                 q = p(ctx, 1 << j | byte >> 8 - j)
                 want += np.log10(q if byte >> 7 - j & 1 else 1 - q)
         assert abs(got[i] - want) < 1e-5 * abs(want)
+
+
+def test_op10_adds_what_base_rules_miss(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    phone = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows, planted, false = [], {}, {}
+    for i in range(600):
+        wrong = "4111 1111 1111 111" + rng.choice("023456789")
+        form = i % 6
+        text = f"{word()} {word()} " + [f"mail {word()}@{word()}.com now", f"call +1 {phone()} now", f"host 10.0.300.{rng.randint(1, 250)} now", f"card {wrong} now", f"mail {word()} [at] {word()} [dot] com now", f"call {phone()} now"][form]
+        rows.append((i, text))
+        start, end = text.index(" ", text.index(["mail", "call", "host", "card", "mail", "call"][form])) + 1, len(text) - 4
+        if form > 3:
+            planted[i] = (start, 0 if form == 4 else 3, end)
+        elif form > 1:
+            false[i] = (start, end)
+    got = {r["doc_id"]: r for r in pii.personal_data(docs_of(spark, rows)).collect()}
+    assert all(not got[i]["base"] and [tuple(x) for x in got[i]["spans"]] == [span] for i, span in planted.items())
+    assert not any(got[i]["spans"] for i in false)
