@@ -16,7 +16,8 @@ their places up in the plan.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
 packed each; a document longer than the capacity is cut into full pieces, the
-last maybe shorter; an empty table gives an empty result.
+last maybe shorter (its ids pass through one task); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, small_batches, staged, table
+from .common import bytes_of, slices, staged, table
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
@@ -104,30 +105,31 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) and, for the packing, the task and the number of the piece among those of its length there; written to the shared folder."""
-    small_batches(docs.sparkSession)
     path = path or tokenizer_path()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen, end = encoder(path), TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            rows, piece, start, length, crc, nth, held = [], [], [], [], [], [], []
-            for r, t in enumerate(bytes_of(b.column("text"))):
-                ids = enc.ids(t) + end
-                for j, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    n = len(cut) // 4
-                    rows.append(r)
-                    piece.append(j)
-                    start.append(at // 4)
-                    length.append(n)
-                    crc.append(zlib.crc32(cut))
-                    nth.append(seen[n])
-                    seen[n] += 1
-                    if keep_ids:
-                        held.append(cut)
-            out = {"doc_id": b.column("doc_id").take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part] * len(rows), pa.int32()), "nth": pa.array(nth, pa.int64())}
-            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(held, pa.binary())} if keep_ids else {}))
+        enc, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in slices(batches):
+            ids, n = enc.encode(list(bytes_of(b.column("text"))), end_id)
+            ids, pieces = ids.astype("<u4", copy=False), -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, n[row] - start)
+            at = np.concatenate(([0], np.cumsum(length)))
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            new = np.concatenate(([True], np.diff(length[order]) > 0)) if len(order) else np.zeros(0, bool)
+            nth = np.empty(len(order), np.int64)
+            nth[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            nth += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            out = {"doc_id": b.column("doc_id").take(pa.array(row)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array(np.full(len(row), part, np.int32)), "nth": nth}
+            if keep_ids:
+                out["ids"] = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_pydict(out)
 
     return staged(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
 
@@ -162,8 +164,9 @@ def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     return rows.groupBy("sequence_id").agg(F.reduce(parts, F.lit(b""), lambda ids, x: F.concat(ids, x["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    return packed(pieces_of(docs))
+def pack_documents(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """A row for each piece of each document and its place; keep_ids: with its ids, little-endian unsigned 32-bit, so the sequences can be read from the rows."""
+    return packed(pieces_of(docs, keep_ids=keep_ids))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
