@@ -55,19 +55,57 @@ def test_op1_query(spark):
     assert better > 0.9
 
 
-def test_op1_blocks(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "BLOCK_BITS", 2)
-    ids = sorted(random.Random(1).sample(range(-500, 5000), 60))
-    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next_text(docs_of(spark, [(i, f"t{i}") for i in ids])).collect()}
-    down = ids[::-1]
-    assert got == {i: f"t{down[(k + 1) % len(down)]}" for k, i in enumerate(down)}
+def test_op1_ranges(spark, monkeypatch):
+    """Many ranges, ids far apart, and one id whose rows fill several ranges."""
+    rng = random.Random(1)
+    ids = sorted(rng.sample(range(-(1 << 60), 1 << 60), 60))
+    for rows in ([(i, f"t{i}") for i in ids], [(7, f"x{k}") for k in range(80)] + [(i, f"t{i}") for i in range(20)] + [(None, f"n{k}") for k in range(30)]):
+        got = Counter((r["doc_id"], r["text"], r["next_text"]) for r in fingerprint.with_next_text(docs_of(spark, rows)).collect())
+        low = -(1 << 63)
+        down = sorted(rows, key=lambda r: (low if r[0] is None else r[0], zlib.crc32(r[1].encode()), r[1]), reverse=True)
+        assert got == Counter((*r, down[(k + 1) % len(down)][1]) for k, r in enumerate(down))
+    assert fingerprint.with_next_text(docs_of(spark, [(1, "alone")])).first()["next_text"] == "alone"
+    assert fingerprint.with_next_text(docs_of(spark, [])).count() == 0
+
+
+def test_op1_margins_by_length():
+    """Edited copies are far above unrelated texts at every length."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    for n, margin in ((10, 0.5), (30, 0.5), (100, 0.4), (300, 0.3), (3000, 0.15)):
+        vocabulary = [word() for _ in range(2000)]
+        texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for _ in range(12)]
+        digests = [fingerprint.digest(t) for t in texts]
+        apart = np.mean([fingerprint.likeness(a, b) for a, b in zip(digests, digests[1:], strict=False)])
+        near = np.mean([fingerprint.likeness(a, fingerprint.digest(t[: len(t) - len(t) // 3] + u[: len(t) // 3])) for a, t, u in zip(digests, texts, texts[1:], strict=False)])
+        assert near > apart + margin, (n, near, apart)
+        assert n > 300 or apart < 0.3, (n, apart)
+    assert fingerprint.likeness(fingerprint.digest("word"), fingerprint.digest("other")) < 0.1
+
+
+def test_op1_digest_by_hand():
+    """Buckets, quartiles and score once more, byte by byte."""
+    for text in ("", "ab", "abcabcabd", "the quick brown fox " * 40, "é日本"):
+        raw, counts = text.encode(), [0] * 1024
+        for i in range(len(raw) - 2):
+            h = (raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 % 2**32
+            h = (h ^ h >> 15) * 2246822519 % 2**32
+            counts[(h ^ h >> 13) % 1024] += 1
+        order = sorted(counts)
+        cuts = [order[255], order[511], order[767]]
+        want = [min(255, round(8 * np.log2(len(raw) + 1)))] + [sum(c > q for q in cuts) for c in counts]
+        assert fingerprint.decode(fingerprint.digest(text)).tolist() == want
+    a, b = (fingerprint.decode(fingerprint.digest(t)) for t in ("some words here " * 9, "some other words " * 9))
+    far = sum(abs(int(x) - int(y)) for x, y in zip(a[1:], b[1:], strict=True)) / 1024
+    unrelated = sum(abs(i - j) * (a[1:] == i).mean() * (b[1:] == j).mean() for i in range(4) for j in range(4))
+    assert abs(fingerprint.code_likeness(a, b) - (1 - far / unrelated - 0.016 * abs(int(a[0]) - int(b[0])))) < 1e-9
 
 
 def test_op2_brute_force(spark, odd):
     df, rows = odd
     rows = [r for r in rows if r[0] != 9007]
     words = (rows[0][1] or "").split()
-    items = [(1, " ".join(words[3:30])), (2, "no id here"), (3, None), (4, ""), (5, "word1 and1 word2 and2 word3 and3 word4 and4 word5 and5 word6 and6"), (5, "word1 and1"), (6, (rows[5][1] or "")[:200])]
+    items = [(None, " ".join(words[5:20])), (1, " ".join(words[3:30])), (2, "no id here"), (3, None), (4, ""), (5, "word1 and1 word2 and2 word3 and3 word4 and4 word5 and5 word6 and6"), (5, "word1 and1"), (6, (rows[5][1] or "")[:200])]
     bench = docs_of(spark, items, "item_id long, text string")
     want = decontaminate.brute_force(rows, items)
     got = {r["doc_id"]: r for r in decontaminate.contamination(df.where("doc_id is null or doc_id <> 9007"), bench).collect()}
@@ -124,7 +162,7 @@ def tree_by_hand(texts, depth):
     from math import exp, lgamma, log
 
     counts = {}
-    for g in lm.grams(texts, depth)[0].tolist():
+    for g in lm.grams(lm.Words(texts, lm.parting()), depth)[0].tolist():
         byte, ctx = g & 255, g >> 8
         for d in range(depth + 1):
             for j in range(8):
@@ -158,14 +196,27 @@ def tree_by_hand(texts, depth):
     return p
 
 
+def test_op3_grams_byte_by_byte():
+    texts = [b"", b"  A b\t\n", b"abcdefghi jk", b"x", b" "]
+    for depth in (1, 3, 5, 7):
+        got, first = lm.grams(lm.Words(texts, lm.parting()), depth)
+        want, begins = [], []
+        for t in texts:
+            begins.append(len(want))
+            stream = b"\n" * depth + b" ".join(lm.tokens(t)) + b"\n"
+            for i in range(depth, len(stream)):
+                want.append(int.from_bytes(stream[i - depth : i + 1], "big"))
+        assert got.view(np.uint64).tolist() == want and first.tolist() == begins
+
+
 def test_op3_tree_by_hand(spark):
     texts = [b"the cat sat", b"the mat sat on the cat", b"a cat"]
-    p = tree_by_hand([lm.tokens(t) for t in texts], 2)
+    p = tree_by_hand(texts, 2)
     df = docs_of(spark, [(i, t.decode()) for i, t in enumerate(texts)] + [(9, "the dog")])
     got = {r["doc_id"]: r["score"] for r in lm.scores(df, df.where("doc_id < 3"), depth=2, bits=16).collect()}
     for i, t in [*enumerate(texts), (9, b"the dog")]:
         want = 0.0
-        for g in lm.grams([lm.tokens(t)], 2)[0].tolist():
+        for g in lm.grams(lm.Words([t], lm.parting()), 2)[0].tolist():
             byte, ctx = g & 255, g >> 8
             for j in range(8):
                 q = p(ctx, 1 << j | byte >> 8 - j)
@@ -244,6 +295,87 @@ def test_op6_blocks_find_what_one_block_finds(spark, monkeypatch):
     assert got == neardup.brute_force(rows)
 
 
+def test_dedup_of_repeated_ids_rows_and_no_ids(spark):
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r s", "only here there is a text of some words"
+    rows = [(1, a, 1), (2, a, 2), (2, c, 3), (3, b, 4), (3, b, 4), (3, b, 5), (None, "x y z u v w", 6), (None, "x y z u v w", 6), (None, b, 7), (None, None, 8), (5, "", 9), (5, "", 9)]
+    df = docs_of(spark, rows, "doc_id long, text string, row int")
+    got = [tuple(r) for r in neardup.deduplicated(df).collect()]
+    assert sorted((r[0] or 0, r[1] or "") for r in got) == sorted([(1, a), (2, c), (3, b), (0, "x y z u v w"), (0, ""), (5, ""), (5, "")])
+    assert set(got) <= set(rows) and neardup.deduplicated(df).columns == df.columns
+
+
+def test_op6_members_left_by_the_hub_are_compared(spark, monkeypatch):
+    """Two families that share a third of their words meet at one hub; a bridge joins a third to one."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(100)]
+    family = lambda x: common + [f"{x}{i}" for i in range(60)]
+    rows = [(100 * k + i, " ".join("z%d" % rng.randrange(99) if rng.random() < 0.01 else w for w in family(x))) for k, x in enumerate("pqr") for i in range(15)]
+    chain = [f"d{i}" for i in range(300)]
+    rows += [(1000 + i, " ".join(chain[12 * i : 12 * i + 120])) for i in range(12)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == neardup.brute_force(rows)
+
+
+def test_op7_marks_are_no_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.identify(docs_of(spark, [(1, "\u0301"), (2, "\u0300 12"), (3, "e\u0301te\u0301 et la maison"), (4, "e\u0301te\u0301 et la maison"), (4, "e\u0301te\u0301 et la maison")]), langid.train(docs)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got[:2]] == [("und", 0.0)] * 2 and got[2]["score"] > 0 and got[2]["spans"][0]["start"] == 0
+    assert tuple(got[3])[1:] == tuple(got[4])[1:]
+
+
+def test_op7_by_hand(spark):
+    """Candidates by script, word scores and the best path once more, word by word."""
+    import unicodedata
+
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null").collect()][:40]
+    texts = [(r["doc_id"], r["text"][:400]) for r in docs[:12]] + [(9001, "été — 12 naïve x_y Straße"), (9002, "слово и word")]
+    df = docs_of(spark, [(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")
+    model = langid.train(df)
+
+    def words(text):
+        out, now = [], ""
+        for c in text + " ":
+            sort = unicodedata.category(c)[0]
+            if sort == "L" or (sort == "M" and now):
+                now += c
+            elif now:
+                out.append(now)
+                now = ""
+        return out
+
+    def features(word):
+        low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word]
+        low = [x + (1 << 24) if unicodedata.category(c)[0] == "M" else x for x, c in zip(low, word, strict=True)]
+        seq, out = [0, 0, *low, 0], []
+        for i in range(2, len(seq)):
+            a, b, c = seq[i], seq[i - 1], seq[i - 2] if seq[i - 1] else 0
+            h = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ c * 0x165667B19E3779F9) % 2**64
+            out.append(((h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64 >> 40) % (1 << 15))
+        return out
+
+    langs = sorted({r["lang"] for r in docs})
+    counts = {x: Counter(f for r in docs if r["lang"] == x for w in words(r["text"]) for f in features(w)) for x in langs}
+    total = {x: sum(c.values()) + 0.1 * (1 << 15) for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.identify(docs_of(spark, texts), model).collect()}
+    for i, t in texts:
+        ws = words(t)
+        s = np.array([[sum(np.log((counts[x][f] + 0.1) / total[x]) for f in features(w)) for x in langs] for w in ws])
+        best, back = s[0], []
+        for row in s[1:]:
+            jump = best.max() - 10
+            back.append(np.where(jump > best, best.argmax(), np.arange(len(langs))))
+            best = np.maximum(best, jump) + row
+        path = [int(best.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        letters = Counter()
+        for w, x in zip(ws, path[::-1], strict=True):
+            letters[langs[x]] += len(w)
+        top = max(letters.values())
+        assert abs(got[i]["score"] - top / sum(letters.values())) < 1e-9 and letters[got[i]["lang_pred"]] == top, i
+
+
 def test_op7_held_out_accuracy_and_edges(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -401,18 +533,47 @@ def test_pipeline(spark, odd, tmp_path):
     assert empty.count() == 0
 
 
+def test_redaction_of_any_columns_and_no_ids(spark):
+    rows = [(None, "1:x a@b.co", "h", "i", "j", 1), (1, "x a@b.co", "h", "i", "j", 2), (1, "x a@b.co", "h", "i", "j", 2), (2, None, None, None, None, None)]
+    df = docs_of(spark, rows, "doc_id long, text string, __row string, `all` string, spans string, n_chars int")
+    got = sorted((tuple(r) for r in pii.redacted(df).collect()), key=str)
+    want = [(None, "1:x [EMAIL]", "h", "i", "j", 11), (1, "x [EMAIL]", "h", "i", "j", 9), (1, "x [EMAIL]", "h", "i", "j", 9), (2, None, None, None, None, None)]
+    assert got == sorted(want, key=str) and pii.redacted(df).columns == df.columns
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Repeated ids and rows, rows without id, other columns: through all stages."""
+    import corpus_pipeline
+    from tidewright.llm.common import staged
+
+    real = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").collect()][:30]
+    rows = [(r["doc_id"], r["text"], r["lang"], "s", 5, "k") for r in real]
+    rows += [(rows[0][0], rows[1][1] + " mehr", "de", "s", 5, "k"), rows[2], rows[2], (None, rows[3][1], "en", "s", 5, "k"), (None, "write to me at x.y@mail.net or not, as it is for the best", "en", "s", 5, "k"), (None, None, None, None, None, None), (77, "\u0301 12", None, None, None, None)]
+    docs = docs_of(spark, rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before = out.count()
+        out = staged(stage(spark, out, SF), f"odd-{name}")
+        assert name == "packing" or (out.columns == docs.columns and out.count() <= before)
+        if name == "near_duplicates":
+            kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+            assert len(kept) == len(set(kept)) and len({t for _, t in kept}) == len(kept) and (None, rows[3][1]) not in kept
+    whole = out.where("doc_id is null").collect()
+    assert len(whole) == 1 and len(whole[0]["ids"]) == 4 * whole[0]["length"] and zlib.crc32(whole[0]["ids"]) == whole[0]["ids_crc32"]
+
+
 def test_op3_keeps_every_node(spark, monkeypatch):
     """More nodes of a depth than 2**12, in several blocks: every score is that of the whole tree."""
     rng = random.Random(8)
     texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400)) for _ in range(30)]
     monkeypatch.setattr(lm, "BLOCK", 3000, raising=False)
-    p = tree_by_hand([lm.tokens(t.encode()) for t in texts[:25]], 3)
+    p = tree_by_hand([t.encode() for t in texts[:25]], 3)
     df = docs_of(spark, list(enumerate(texts)))
     got = {r["doc_id"]: r["score"] for r in lm.scores(df, df.where("doc_id < 25"), depth=3, bits=12).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         want = 0.0
-        for g in lm.grams([lm.tokens(t.encode())], 3)[0].tolist():
+        for g in lm.grams(lm.Words([t.encode()], lm.parting()), 3)[0].tolist():
             byte, ctx = g & 255, g >> 8
             for j in range(8):
                 q = p(ctx, 1 << j | byte >> 8 - j)

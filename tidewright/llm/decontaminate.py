@@ -12,11 +12,15 @@ Words that no item has end a suffix: they are one number, 0, that matches
 nothing, and suffixes that begin with one are left out of the array.
 
 The benchmark reaches the tasks in blocks of at most BLOCK_BYTES of text, each
-a broadcast of its own, so one block at most is collected at a time.
+a broadcast of its own, so one block at most is collected at a time. Workers
+keep all of them, so a benchmark of more than MOST_BYTES raises an error:
+decontaminate by parts of it, one after the other.
 
 Defined cases: null and empty texts have no words and are never hit; an item
 of fewer words than a window, but not none, is one window; items with one id
-count once; repeated documents are judged row by row; no items: nothing is hit.
+count once, and those without an id are one item of the id ""; a very long
+text is a shard of its own; repeated documents are judged row by row; no items:
+nothing is hit; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, small_batches, table
+from .common import bytes_of, slices, table
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES, MOST_BYTES = 8_000_000, 256_000_000
 #: A-Z lower-cased; bytes 0-2F, 3A-60, 7B-7F (after lower-casing) part words.
 SPLIT = bytes((b + 32 if 65 <= b <= 90 else b) if 0x30 <= b <= 0x39 or 65 <= b <= 90 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
@@ -47,7 +51,7 @@ class Block:
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.ids = [str(i) for i, _ in items]
+        self.ids = ["" if i is None else str(i) for i, _ in items]
         number = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int32) for _, ws in items]
         self.item = np.concatenate([np.full(len(x), i) for i, x in enumerate(number)] or [np.zeros(0, int)])
         self.at = np.concatenate([np.arange(len(x)) for x in number] or [np.zeros(0, int)])
@@ -114,10 +118,14 @@ def search(ids: np.ndarray, sa: np.ndarray, block: Block) -> tuple[np.ndarray, n
 def blocks_of(benchmark: DataFrame, window: int = WINDOW) -> list:
     """The benchmark as broadcasts of at most BLOCK_BYTES each (a longer item is its own block)."""
     sc, out, items, size = benchmark.sparkSession.sparkContext, [], [], 0
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > MOST_BYTES:
+        raise ValueError(f"{total} bytes of benchmark; at most {MOST_BYTES} at a time")
     for item, text in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if ws := words(text.encode()):
+        raw = text.encode()
+        if ws := words(raw):
             items.append((item, ws))
-            size += len(text)
+            size += len(raw)
         if size >= BLOCK_BYTES:
             out.append(sc.broadcast(Block(items, window)))
             items, size = [], 0
@@ -170,12 +178,11 @@ def shards(texts: Iterator[bytes]) -> Iterator[list[list[bytes]]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted ids), longest (words of the longest verbatim match), longest_item, longest_at (its first word here). No shuffle."""
-    small_batches(docs.sparkSession)
     blocks = blocks_of(benchmark, window)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             done = 0
             for texts in shards(bytes_of(b.column("text"))):
                 x = judged(texts, blocks, window)
@@ -187,11 +194,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of any item, all columns kept, each row judged by itself. No shuffle."""
-    small_batches(docs.sparkSession)
     blocks = blocks_of(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keep: list[bool] = []
             for texts in shards(bytes_of(b.column("text"))):
                 keep += (judged(texts, blocks, window)["n_hit"] == 0).tolist()
@@ -220,7 +226,7 @@ WITH d AS (
 ), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id
 ), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM met) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
@@ -232,7 +238,7 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
     for item, text in items:
         ws = words((text or "").encode())
         for i in range(max(1, len(ws) - window + 1) if ws else 0):
-            wanted.setdefault(tuple(ws[i : i + window]), set()).add(str(item))
+            wanted.setdefault(tuple(ws[i : i + window]), set()).add("" if item is None else str(item))
     out = {}
     for doc, text in docs:
         ws, hit, met = words((text or "").encode()), set(), set()

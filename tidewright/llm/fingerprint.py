@@ -5,13 +5,18 @@ digest keeps, for each bucket, the quartile (0 to 3) its count falls into, and
 one byte for the logarithm of the text's length; counts themselves are
 forgotten, so texts of one kind but of unlike length stay comparable.
 
-Two digests differ by the mean distance of their quartiles plus a bounded
-penalty for unlike lengths; likeness is 1 less that difference over what
-unrelated uniform quartiles would show, held to 0..1.
+Two digests differ by the mean distance of their quartiles. Two unrelated
+digests with the same shares of each quartile would differ by a known mean;
+likeness is 1 less the one over the other, less a bounded penalty for unlike
+lengths, held to 0..1. So buckets that both texts leave empty count for
+nothing, and unrelated short texts are near 0 like unrelated longer ones. Long
+texts of one language share much of their triplets' distribution and are never
+that far apart; edited copies stay above them.
 
 Defined cases: a null text counts as empty; an empty text and a text of one or
 two bytes have no triplet (all quartiles 0); equal texts have equal digests;
-repeated rows are digested row by row; an empty table gives an empty table.
+repeated rows are digested row by row; a very long text is counted in parts of
+CHUNK bytes; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,15 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, small_batches, table
+from .common import bytes_of, order_key, range_bucket, range_cuts, slices, table
 
 BUCKETS = 1024
-#: Mean distance of two independent uniform quartiles.
-UNRELATED = 1.25
-#: Steps of the length byte for each doubling, cost of a step, and the most that lengths can cost.
-LENGTH_STEPS, STEP_COST, LENGTH_COST = 8, 0.02, 0.5
-#: Rows of one id block are neighbours in one window partition.
-BLOCK_BITS = 12
+#: Steps of the length byte for each doubling, what a step takes off the likeness, and the most that lengths can take.
+LENGTH_STEPS, STEP_COST, LENGTH_COST = 8, 0.016, 0.4
 CHUNK = 1 << 20
 
 
@@ -60,9 +61,16 @@ def decode(fingerprint: str) -> np.ndarray:
     return np.concatenate((raw[:1], np.stack([raw[1:] >> s & 3 for s in (6, 4, 2, 0)], 1).ravel()))
 
 
+_DISTANCE = np.abs(np.subtract.outer(np.arange(4), np.arange(4)))
+
+
 def code_likeness(a: np.ndarray, b: np.ndarray) -> float:
-    d = np.abs(a.astype(np.int16) - b.astype(np.int16))
-    return float(max(0.0, 1.0 - (d[1:].mean() + min(LENGTH_COST, STEP_COST * float(d[0]))) / UNRELATED))
+    met = np.bincount(4 * a[1:] + b[1:], minlength=16).reshape(4, 4).astype(np.float64)
+    if (far := float((met * _DISTANCE).sum())) == 0:  # the same quartile everywhere
+        quartiles = 1.0
+    else:
+        quartiles = 1.0 - far * met.sum() / float((np.outer(met.sum(1), met.sum(0)) * _DISTANCE).sum())
+    return max(0.0, quartiles - min(LENGTH_COST, STEP_COST * abs(int(a[0]) - int(b[0]))))
 
 
 def digest(text: str | None) -> str:
@@ -76,12 +84,11 @@ def likeness(a: str, b: str) -> float:
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """df and the digest of its text column; no shuffle. A column already named ``out`` is replaced."""
-    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != out]
     schema = df.select(*names, F.lit("").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text):
             fp = pa.array([encode(codes(t)) for t in bytes_of(b.column(names.index(text)))], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*names, out])
 
@@ -91,33 +98,29 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
 def with_next_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) and, as next_text, the text of the next row in descending doc_id; the last row's next is the first.
 
-    Rows are windowed within blocks of 2**BLOCK_BITS ids, so no task gets them
-    all; the head of each block serves the block before, found by the same
-    windows over blocks, blocks of blocks, and so on. Ties of doc_id go by
-    text; null ids come last.
+    Rows are windowed within ranges of doc_id, so no task gets them all, and a
+    doc_id that fills several ranges is parted by its texts; the first row of
+    each range serves the last of the range before. Ties of doc_id go by a hash
+    of the text, then the text; null ids come last.
     """
-    key, bits = F.coalesce("doc_id", F.lit(-(1 << 63))), BLOCK_BITS
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("k"), F.shiftright(key, bits).alias("block"))
-    w = Window.partitionBy("block").orderBy(F.desc("k"), "text")
-    rows = rows.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("nx"))
-    heads = rows.where("rn = 1").select(F.col("block").alias("head"), F.col("text").alias("head_text"))
-
-    b = rows.where("rn = 1").select("block", F.shiftright("block", bits).alias("b1"), F.shiftright("block", 2 * bits).alias("b2"))
-    near = b.select("*", F.lead("block").over(Window.partitionBy("b1").orderBy(F.desc("block"))).alias("n0"))
-    mid = near.groupBy("b1", "b2").agg(F.max("block").alias("top"))
-    mid = mid.select("*", F.lead("top").over(Window.partitionBy("b2").orderBy(F.desc("b1"))).alias("n1"))
-    # One row for 2**36 ids, so this window over all of them stays small.
-    far = mid.groupBy("b2").agg(F.max("top").alias("top2"))
-    all_far = Window.orderBy(F.desc("b2"))
-    far = far.select("b2", F.coalesce(F.lead("top2").over(all_far), F.max("top2").over(Window.partitionBy())).alias("n2"))
-    after = near.join(mid.select("b1", "n1"), "b1").join(far, "b2").select("block", F.coalesce("n0", "n1", "n2").alias("head"))
-    after = after.join(heads, "head").select("block", "head_text")
-    return rows.join(after.hint("merge"), "block").select("doc_id", "text", F.coalesce("nx", "head_text").alias("next_text"))
+    spark = docs.sparkSession
+    cuts = range_cuts(docs, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), order_key().alias("k")).withColumn("h", F.crc32("text"))
+    rows = rows.withColumn("bucket", range_bucket(cuts, F.col("k"), F.col("h")))
+    # The head of each range: as many as there are cuts at most, and one more.
+    top = rows.groupBy("bucket").agg(F.max("k").alias("k")).collect()
+    used = sorted(r["bucket"] for r in top)
+    heads = rows.join(F.broadcast(spark.createDataFrame(top, "bucket int, k long")), ["bucket", "k"]).groupBy("bucket").agg(F.max(F.struct("h", "text")).alias("head"))
+    serves = dict(zip(used, [*used[1:], *used[:1]], strict=True))
+    given = F.create_map(*(F.lit(x) for pair in serves.items() for x in pair))[F.col("bucket")] if serves else F.lit(None).cast("int")
+    heads = heads.select(given.alias("bucket"), F.col("head.text").alias("head_text"))
+    w = Window.partitionBy("bucket").orderBy(F.desc("k"), F.desc("h"), F.desc("text"))
+    rows = rows.select("bucket", "doc_id", "text", F.lead("text").over(w).alias("nx"))
+    return rows.join(heads.hint("merge"), "bucket").select("doc_id", "text", F.coalesce("nx", "head_text").alias("next_text"))
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's digest against those of its edited text and of the next document."""
-    small_batches(spark, 500)
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     rows = (
         with_next_text(table(spark, sf_dir, "documents"))
@@ -127,7 +130,7 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (b"", codes(b""))  # rows come in order within a block, so a row's next text is mostly the next row's own
-        for b in batches:
+        for b in slices(batches):
             own, edited, near_edited, near_next = [], [], [], []
             for text, other, after in zip(*(bytes_of(b.column(c)) for c in ("text", "edited", "next_text")), strict=True):
                 f = last[1] if text == last[0] else codes(text)

@@ -14,9 +14,12 @@
 Counts for all training texts are summed by Spark; the model that reaches the
 tasks holds a number for each language and class, whatever the corpus's size.
 
-Defined cases: a null text and a text without a letter are `und`, score 0; of
-languages with equally many letters the first by name; without any training
-text every text is `und`; repeated rows are judged row by row.
+Defined cases: a null text and a text without a letter (marks alone are none)
+are `und`, score 0; of languages with equally many letters the first by name;
+without any training text every text is `und`; a very long text is judged
+whole, with memory in proportion to its words; repeated rows are judged row by
+row; more than LANGUAGES different labels raise an error; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, small_batches, table
+from .common import bytes_of, slices, table
 
 FEATURES, SWITCH, SCRIPT_SHARE, SMOOTH, UNKNOWN = 1 << 15, 10.0, 0.01, 0.1, "und"
-CHUNK = 2_000_000
+CHUNK, MARK = 2_000_000, 1 << 24
+#: Most languages that a model may have: it holds 2**15 numbers for each, at the driver and in every worker.
+LANGUAGES = 500
 #: First code points of ranges, and their scripts.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -49,17 +55,19 @@ _FIRST, _SCRIPT = np.array([a for a, _ in SCRIPTS]), np.array([NAMES.index(s) fo
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point its small letter, or 0 for what is no letter or mark."""
+    """For each code point its small letter (a mark: itself above MARK), or 0 for what is no letter or mark."""
     out = np.zeros(0x110000, np.uint32)
     for i in range(0x110000):
         c = chr(i)
-        if unicodedata.category(c)[0] in "LM":
+        if (sort := unicodedata.category(c)[0]) == "L":
             out[i] = ord(low) if len(low := c.lower()) == 1 else i
+        elif sort == "M":
+            out[i] = i + MARK
     return out
 
 
 class Words:
-    """The words of some texts: runs of letters. begin and end in code points of all texts together; doc: the text's number."""
+    """The words of some texts: runs of letters and of marks after a letter. begin and end in code points of all texts together; doc: the text's number."""
 
     def __init__(self, texts: list[bytes]):
         parts = [np.frombuffer(t.decode(errors="replace").encode("utf-32-le", "replace"), np.uint32) for t in texts]
@@ -68,7 +76,11 @@ class Words:
         for p, b in zip(parts, self.base, strict=False):
             raw[b : b + len(p)] = p
         low = _letters()[raw]
-        inside = low > 0
+        mark = low >= MARK
+        last = np.maximum.accumulate(np.where(mark, 0, np.arange(len(low))))  # the place of the last that is no mark
+        inside = (low > 0) & ~mark
+        inside |= mark & inside[last]
+        low = np.where(inside, low, 0)
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             edge = np.concatenate(([0], edge))
@@ -105,11 +117,10 @@ def chunks(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
 
 def train(docs: DataFrame) -> dict:
     """The model of the labelled texts of docs (text, lang): languages, log probabilities, scripts."""
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches, size=4 * CHUNK):
             by: dict[str, list[bytes]] = {}
             for lang, t in zip(b.column("lang").to_pylist(), bytes_of(b.column("text")), strict=True):
                 by.setdefault(lang, []).append(t)
@@ -125,7 +136,10 @@ def train(docs: DataFrame) -> dict:
 
     labelled = docs.select("lang", "text").where("lang is not null and text is not null")
     counts = labelled.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    found = counts.toArrow().to_pydict()  # a number for each language and class at most
+    found = counts.limit(LANGUAGES * (FEATURES + len(NAMES)) + 1).toArrow()
+    if len(pc.unique(found.column("lang"))) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: lang does not hold language names")
+    found = found.to_pydict()
     langs = sorted(set(found["lang"]))
     n = np.zeros((len(langs), FEATURES + len(NAMES)))
     n[np.searchsorted(langs, found["lang"]) if langs else [], found["feature"]] = found["n"]
@@ -195,33 +209,27 @@ def judged(texts: list[bytes], model: dict, switch: float = SWITCH) -> tuple[lis
 
 def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     """(doc_id, lang_pred, score, spans: start, end, lang in code points) of every row of docs (doc_id, text). No shuffle."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = 0
-            for part in chunks(bytes_of(b.column("text"))):
-                pred, score, spans = judged(part, shared.value, switch)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(part)), pa.array(pred, pa.string()), pa.array(score), spans], names=["doc_id", "lang_pred", "score", "spans"])
-                done += len(part)
+        for b in slices(batches, size=CHUNK):
+            pred, score, spans = judged(list(bytes_of(b.column("text"))), shared.value, switch)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), spans], names=["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
 
 
 def of_one_language(docs: DataFrame, model: dict, share: float, switch: float = SWITCH) -> DataFrame:
-    """The rows of docs of which one language has that share of the letters, all columns kept, each row judged by itself. No shuffle."""
-    small_batches(docs.sparkSession)
+    """The rows of docs of which one language has that share of the letters, all columns kept, each row judged by itself; a model without languages rejects only texts without a letter. No shuffle."""
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep: list[bool] = []
-            for part in chunks(bytes_of(b.column("text"))):
-                pred, score, _ = judged(part, shared.value, switch)
-                keep += [p != UNKNOWN and s >= share for p, s in zip(pred, score, strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for b in slices(batches, size=CHUNK):
+            pred, score, _ = judged(list(bytes_of(b.column("text"))), shared.value, switch)
+            yield b.filter(pa.array([p != UNKNOWN and s >= share for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -238,4 +246,5 @@ def languages(docs: DataFrame) -> DataFrame:
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     found = languages(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["lang"])), ",")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"), spans.alias("spans"))

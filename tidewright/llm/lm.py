@@ -39,57 +39,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, small_batches, staged, table
+from .common import LOWER, bytes_of, slices, staged, table
+from .words import Words, parting
 
 DEPTH, MEMO_BITS, FREQUENT = 5, 21, 200_000
-CHUNK, BLOCK, REMEMBERED, HELD = 1_000_000, 16_000_000, 200_000, 1_500_000
+CHUNK, BLOCK, HELD = 1_000_000, 16_000_000, 1_500_000
 END = b"\n"
-MIX, SPREAD = 0x9E3779B97F4A7C15, 0x5BD1E9
+MIX, SPREAD, FORTY = 0x9E3779B97F4A7C15, 0x5BD1E9, (1 << 40) - 1
 
 
-class _TokenHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _TokenHashes()
-END_TOKEN = xxhash.xxh64_intdigest(b"")
+END_TOKEN = 0
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()  # bytes part at 20 and 09-0D alone
 
 
-def token_hashes(words: list[bytes]) -> np.ndarray:
-    """One for each token, the end included."""
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    out[-1] = END_TOKEN
-    return out.view(np.int64)
+def token_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each token, the end of each text included; and how many each text has."""
+    ends = w.first[1:]
+    return np.insert(w.hashes(), ends, END_TOKEN).view(np.int64), np.diff(w.first) + 1
 
 
-def grams(texts: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def grams(w: Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For each byte to score: its context (latest byte lowest) above the byte itself; and where each text begins."""
-    pad = END * depth
-    parts = [pad + b" ".join(ws) + END for ws in texts]
-    b = np.frombuffer(b"".join(parts), np.uint8)
-    size = np.array([len(p) for p in parts], np.int64)
-    g = b.astype(np.int64)
-    for k in range(1, depth + 1):
-        g[k:] |= b[:-k].astype(np.int64) << 8 * k
-    scored = np.ones(len(b), bool)
+    raw = np.frombuffer(w.joined, np.uint8)
+    keep = raw != 32
+    keep[1:] |= keep[:-1].copy()  # and one blank after each word
+    words = np.concatenate(([0], np.cumsum(w.length + 1)))[w.first]
+    size = np.diff(words)
+    b = np.concatenate((np.zeros(7, np.uint8), raw[keep]))
+    b[words[1:][size > 0] + 6] = END[0]
+    if (size == 0).any():  # texts without words: the end alone
+        b = np.insert(b, words[:-1][size == 0] + 7, END[0])
+        size = np.maximum(size, 1)
     first = np.cumsum(size) - size
-    for k in range(depth):
-        scored[first + k] = False
-    return g[scored], np.cumsum(size - depth) - (size - depth)
+    g = np.ndarray((len(b) - 7,), ">u8", np.ascontiguousarray(b), 0, (1,)).astype(np.uint64)
+    if depth < 7:
+        g &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    for k in range(depth):  # before a text there are ends
+        at = first[size > k] + k
+        low = (1 << 8 * (k + 1)) - 1
+        g[at] = g[at] & np.uint64(low) | np.uint64(int.from_bytes(END * 8, "big") & ((1 << 8 * (depth + 1)) - 1) & ~low)
+    return g.view(np.int64), first
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and how often each occurs, by one sort."""
+    k = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, int)
+    return k[first], np.diff(np.concatenate((first, [len(k)])))
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,7 @@ def counted(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         held = {True: ([], []), False: ([], [])}
 
         def add(gram: bool, keys: np.ndarray) -> None:
-            k, n = np.unique(keys, return_counts=True)
+            k, n = distinct(keys)
             own = held[gram]
             own[0].append(k)
             own[1].append(n)
@@ -124,38 +127,37 @@ def counted(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 held[gram][0].clear()
                 held[gram][1].clear()
 
-        texts, size = [], 0
-        for b in batches:
-            for t in bytes_of(b.column("text")):
-                texts.append(tokens(t))
-                size += len(t)
-                if size >= CHUNK:
-                    add(True, grams(texts, depth)[0])
-                    add(False, np.concatenate([token_hashes(ws) for ws in texts]))
-                    texts, size = [], 0
+        for b in slices(batches, size=CHUNK):
+            w = Words(list(bytes_of(b.column("text"))), parting())
+            add(True, grams(w, depth)[0])
+            add(False, token_hashes(w)[0])
             for gram in held:
                 if held[gram][0] and len(held[gram][0][0]) > 2 * HELD:  # a very large partition
                     yield from rows(gram)
-        if texts:
-            add(True, grams(texts, depth)[0])
-            add(False, np.concatenate([token_hashes(ws) for ws in texts]))
         for gram in held:
             yield from rows(gram)
 
     return docs.select("text").mapInArrow(run, "gram boolean, key long, n long").groupBy("gram", "key").agg(F.sum("n").alias("n"))
 
 
-def _log_gamma(x: Column) -> Column:
-    y, product = x + 8, x
-    for i in range(1, 8):
-        product = product * (x + i)
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+def with_log_kt(rows: DataFrame, out: str) -> DataFrame:
+    """rows (a, b) with log P_kt of a zeros and b ones, by Stirling's series after eight steps of the recurrence. Columns are bound one by one, so none is worked out twice."""
+    x = {"xa": F.col("a") + 0.5, "xb": F.col("b") + 0.5, "xc": F.col("a") + F.col("b") + 1.0}
+
+    def product(c: str) -> Column:
+        p = F.col(c)
+        for i in range(1, 8):
+            p = p * (F.col(c) + i)
+        return p
 
+    def stirling(c: str) -> Column:
+        y, q = F.col(f"y{c}"), F.col(f"q{c}")
+        return (y - 0.5) * F.log(y) - y + (F.lit(1 / 12) - q * (1 / 360) + q * q * (1 / 1260)) / y
 
-def log_kt(a: Column, b: Column) -> Column:
-    """log P_kt of a zeros and b ones."""
-    return F.when(a + b == 0, 0.0).otherwise(_log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi))
+    rows = rows.withColumns(x).withColumns({f"y{c}": F.col(c) + 8 for c in x})
+    rows = rows.withColumns({f"q{c}": 1 / (F.col(f"y{c}") * F.col(f"y{c}")) for c in x} | {f"p{c}": product(c) for c in x})
+    value = stirling("xa") + stirling("xb") - stirling("xc") - F.log(F.col("pxa") * F.col("pxb") / F.col("pxc")) + (0.5 * math.log(2 * math.pi) - math.log(math.pi))
+    return rows.withColumn(out, F.when(F.col("a") + F.col("b") == 0, 0.0).otherwise(value)).drop(*(f"{k}{c}" for c in x for k in ("", "y", "q", "p")))
 
 
 def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -168,15 +170,13 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     level = bits.select("ctx", node.cast("int").alias("node"), (F.col("n") * (1 - bit)).alias("zero"), (F.col("n") * bit).alias("one"))
     level = level.groupBy("ctx", "node").agg(F.sum("zero").alias("a"), F.sum("one").alias("b"))
     # The deepest level, by far the largest, is written as counts alone: the rest follows from them.
-    levels = [staged(level, f"tree-{depth}").withColumns({"log_w": log_kt(F.col("a"), F.col("b")), "weight": F.lit(1.0)})]
+    levels = [with_log_kt(staged(level, f"tree-{depth}"), "log_w").withColumn("weight", F.lit(1.0))]
     for d in range(depth - 1, -1, -1):
         up = levels[0].select(F.col("ctx").bitwiseAND((1 << 8 * d) - 1).alias("ctx"), "node", "a", "b", "log_w")
         up = up.groupBy("ctx", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log_w").alias("below"))
-        own = math.log(0.5) + log_kt(F.col("a"), F.col("b"))
-        up = up.select("ctx", "node", "a", "b", own.alias("own"), (math.log(0.5) + F.col("below")).alias("below"))
-        top = F.greatest("own", "below")
-        up = up.withColumn("log_w", top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("below") - top)))
-        levels.insert(0, staged(up.select("ctx", "node", "a", "b", "log_w", F.exp(F.col("own") - F.col("log_w")).alias("weight")), f"tree-{d}"))
+        up = with_log_kt(up, "kt").select("ctx", "node", "a", "b", F.col("kt").alias("own"), "below")  # both halved
+        up = up.withColumn("top", F.greatest("own", "below")).withColumn("sum", F.col("top") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))))
+        levels.insert(0, staged(up.select("ctx", "node", "a", "b", (F.col("sum") + math.log(0.5)).alias("log_w"), F.exp(F.col("own") - F.col("sum")).alias("weight")), f"tree-{d}"))
     kt = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
     above = None
     for d, level in enumerate(levels):
@@ -194,12 +194,12 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def bucket_of(ctx: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of a context; in Spark as bucket_column()."""
-    h = ctx * SPREAD  # 40 bits by 23
+    h = ((ctx ^ ctx >> 17) & FORTY) * SPREAD  # 40 bits by 23
     return (h ^ h >> 29) % buckets
 
 
 def bucket_column(ctx: Column, buckets: int) -> Column:
-    h = ctx * F.lit(SPREAD).cast("long")
+    h = ctx.bitwiseXOR(F.shiftright(ctx, 17)).bitwiseAND(F.lit(FORTY)) * F.lit(SPREAD).cast("long")
     return (h.bitwiseXOR(F.shiftright(h, 29)) % buckets).cast("int")
 
 
@@ -233,7 +233,7 @@ def blocks(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
         def seen() -> None:
             nonlocal texts, taken
             if texts:
-                held.append(np.unique(grams(texts, depth)[0]))
+                held.append(distinct(grams(Words(texts, parting()), depth)[0])[0])
                 texts, taken = [], 0
 
         def placed(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
@@ -245,7 +245,7 @@ def blocks(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
 
         def wanted(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
             seen()
-            keys = np.unique(np.concatenate(held))
+            keys = distinct(np.concatenate(held))[0]
             order, first = dealt(keys, buckets)
             some = [k for k in range(buckets) if first[k] < first[k + 1]]
             parts = [keys[order[first[k] : first[k + 1]]] for k in some]
@@ -260,7 +260,7 @@ def blocks(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
         for b in batches:
             ids, text, done = b.column("doc_id"), b.column("text"), 0
             for i, t in enumerate(bytes_of(text), 1):
-                texts.append(tokens(t))
+                texts.append(t)
                 size, taken = size + len(t), taken + len(t)
                 if taken >= CHUNK:
                     seen()
@@ -309,7 +309,9 @@ def looked_up(level: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
             keys, logit = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(keys)
             keys, logit = keys[order], logit[order].astype(np.float64)
-            g, back = np.unique(np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), sizes, strict=True)]), return_inverse=True)
+            all_asked = np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), sizes, strict=True)])
+            g = distinct(all_asked)[0]
+            back = np.searchsorted(g, all_asked)
             logs, byte = np.zeros(len(g)), g & 255
             for j in range(8):
                 at = np.searchsorted(keys, (g & ~255) | 1 << j | byte >> 8 - j)  # each is there
@@ -352,18 +354,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int = MEMO_BITS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row of docs (doc_id, text), learning from training (text); workers remember 2**bits grams."""
     spark = docs.sparkSession
-    small_batches(spark)
     counts = staged(counted(training, depth), "counts")
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(16, size // BLOCK) | 1
     dealt_out = blocks(docs, depth, buckets)
     wanted = dealt_out.where("bucket is not null").select("block", "bucket", "n", "grams")
 
-    def distinct(asked: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]))
+    def once(asked: pa.Table) -> pa.Table:
+        keys = distinct(np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]))[0]
         return pa.table({"key": keys, "n": np.zeros(len(keys), np.int64)})
 
-    asked = wanted.select("bucket", "n", "grams").groupBy("bucket").applyInArrow(distinct, "key long, n long")
+    asked = wanted.select("bucket", "n", "grams").groupBy("bucket").applyInArrow(once, "key long, n long")
     both = counts.where("gram").select("key", "n").unionAll(asked).groupBy("key").agg(F.sum("n").alias("n"))
     found = looked_up(tree(both, depth), wanted, buckets)
     words = counts.where("not gram").select("key", "n")
@@ -386,13 +387,13 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int =
         if name not in _memories:
             _memories.clear()
             _memories[name] = Memory(bits)
-        memory, parts, done = _memories[name], [], 0
+        memory, parts = _memories[name], []
 
-        def judged(rows: pa.Table, texts: list[list[bytes]], g: np.ndarray, first: np.ndarray) -> pa.Table:
+        def judged(rows: pa.Table, w: Words) -> pa.Table:
+            g, first = grams(w, depth)
             ends = np.concatenate((first[1:], [len(g)]))
             score = np.add.reduceat(memory.logs(g, own, own_logs), first)
-            sizes = np.array([len(t) + 1 for t in texts])
-            h = np.concatenate([token_hashes(t) for t in texts])
+            h, sizes = token_hashes(w)
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             met = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             log = np.where(met, np.log10((n[at] if len(keys) else 0) + 0.5) - base, 0.0)
@@ -401,25 +402,14 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int =
             cut = np.concatenate(([0], np.cumsum(np.add.reduceat((~met).astype(np.int64), begin)))).astype(np.int32)
             return pa.table({"doc_id": rows.column("doc_id"), "row": rows.column("row"), "n_tokens": sizes, "known": np.add.reduceat(met.astype(np.int64), begin), "base": np.add.reduceat(log, begin), "score": score, "n_bytes": ends - first, "left": pa.ListArray.from_arrays(pa.array(cut), pa.array(left))})
 
-        def pieces() -> Iterator[tuple[int, list[list[bytes]]]]:
-            held, size, done = [], 0, 0
-            for t in (t for chunk in texts.column("text").chunks for t in bytes_of(chunk)):
-                held.append(tokens(t))
-                size += len(t)
-                if size >= CHUNK:
-                    yield done, held
-                    held, size, done = [], 0, done + len(held)
-            if held:
-                yield done, held
-
         # The block's grams in the order in which they were asked for.
-        own = np.unique(np.concatenate([np.unique(grams(held, depth)[0]) for _, held in pieces()]))
+        own = distinct(np.concatenate([distinct(grams(Words(list(bytes_of(b.column("text"))), parting()), depth)[0])[0] for b in slices(texts.to_batches(), size=CHUNK)]))[0]
         order, _ = dealt(own, buckets)
         own_logs = np.empty(len(own), np.float32)
         given = sorted(zip(logs.column("bucket").to_pylist(), logs.column("logs").to_pylist(), strict=True))
         own_logs[order] = np.frombuffer(b"".join(x for _, x in given), np.float32)
-        for done, held in pieces():
-            parts.append(judged(texts.slice(done, len(held)), held, *grams(held, depth)))
+        for b in slices(texts.to_batches(), size=CHUNK):
+            parts.append(judged(pa.Table.from_batches([b]), Words(list(bytes_of(b.column("text"))), parting())))
         return pa.concat_tables(parts)
 
     texts = dealt_out.where("bucket is null").select("block", "row", "doc_id", "text")
