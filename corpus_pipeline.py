@@ -5,8 +5,9 @@ kept; run() writes each stage's rows as Parquet to the shared folder and reads
 them back for the next. All but the last return the columns of documents.
 
 Defined cases are those of the operators: rows with a null or letterless text
-go in the first stage; rows without a doc_id are no near duplicates of others
-and are otherwise treated like the rest.
+go in the first stage (if no row outside the held-out third has a lang, these
+alone); of repeated rows and of rows of one doc_id and text one stays; rows
+without a doc_id come after all others, and go where they repeat another.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences; a row for each piece."""
-    return packing.pack_documents(docs)
+    """Packs the documents into sequences; a row for each piece, with its token ids."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("contamination", contamination), ("personal_data", personal_data), ("packing", packed)]
