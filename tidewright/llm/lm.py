@@ -222,56 +222,41 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """Rows of two sorts: each text with its block (bucket null); and of each block and bucket the distinct grams."""
+    """Rows of two sorts: runs of texts with their block (bucket null; packed: the texts, n bytes, as one compressed string); and of each block and bucket the n distinct grams (packed)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, row long, doc_id {kind}, text string, bucket int, n int, grams binary"
+    schema = f"block long, row long, doc_ids array<{kind}>, sizes array<bigint>, bucket int, n long, packed binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        row, block, size, held, texts, taken = part << 40, part << 20, 0, [], [], 0
-
-        def seen() -> None:
-            nonlocal texts, taken
-            if texts:
-                held.append(distinct(grams(Words(texts, parting()), depth)[0])[0])
-                texts, taken = [], 0
-
-        def placed(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
-            nonlocal row
-            n = len(ids)
-            out = {"block": pa.array(np.full(n, block)), "row": np.arange(row, row + n), "doc_id": ids, "text": text, "bucket": pa.nulls(n, pa.int32()), "n": pa.nulls(n, pa.int32()), "grams": pa.nulls(n, pa.binary())}
-            row += n
-            return pa.RecordBatch.from_pydict(out)
-
-        def wanted(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
-            seen()
+        row, block, size, held = part << 40, part << 20, 0, []
+
+        def placed(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+            raw, sizes = b"".join(texts), pa.array([len(t) for t in texts], pa.int64())
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_pydict({"block": [block], "row": [row], "doc_ids": one(ids), "sizes": one(sizes), "bucket": pa.nulls(1, pa.int32()), "n": pa.array([len(raw)], pa.int64()), "packed": pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())})
+
+        def wanted(ids: pa.Array) -> pa.RecordBatch:
             keys = distinct(np.concatenate(held))[0]
             order, first = dealt(keys, buckets)
             some = [k for k in range(buckets) if first[k] < first[k + 1]]
             parts = [keys[order[first[k] : first[k + 1]]] for k in some]
             n = len(some)
-            held.clear()
             return pa.RecordBatch.from_pydict({
-                "block": pa.array(np.full(n, block)), "row": pa.nulls(n, pa.int64()), "doc_id": pa.nulls(n, ids.type), "text": pa.nulls(n, text.type),
-                "bucket": pa.array(some, pa.int32()), "n": pa.array(list(map(len, parts)), pa.int32()), "grams": pa.array(list(map(packed, parts)), pa.binary()),
+                "block": pa.array(np.full(n, block)), "row": pa.nulls(n, pa.int64()), "doc_ids": pa.nulls(n, pa.list_(ids.type)), "sizes": pa.nulls(n, pa.list_(pa.int64())),
+                "bucket": pa.array(some, pa.int32()), "n": pa.array(list(map(len, parts)), pa.int64()), "packed": pa.array(list(map(packed, parts)), pa.binary()),
             })
 
         ids = None
-        for b in batches:
-            ids, text, done = b.column("doc_id"), b.column("text"), 0
-            for i, t in enumerate(bytes_of(text), 1):
-                texts.append(t)
-                size, taken = size + len(t), taken + len(t)
-                if taken >= CHUNK:
-                    seen()
-                if size >= BLOCK:
-                    yield placed(ids.slice(done, i - done), text.slice(done, i - done))
-                    yield wanted(ids, text)
-                    done, size, block = i, 0, block + 1
-            if done < len(ids):
-                yield placed(ids.slice(done), text.slice(done))
-        if texts or held:
-            yield wanted(ids, text)
+        for b in slices(batches, size=min(CHUNK, BLOCK)):
+            ids, texts = b.column("doc_id"), list(bytes_of(b.column("text")))
+            yield placed(ids, texts)
+            held.append(distinct(grams(Words(texts, parting()), depth)[0])[0])
+            row, size = row + len(texts), size + sum(map(len, texts))
+            if size >= BLOCK:
+                yield wanted(ids)
+                size, block, held = 0, block + 1, []
+        if held:
+            yield wanted(ids)
 
     return staged(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "blocks")
 
@@ -358,7 +343,7 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int =
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(16, size // BLOCK) | 1
     dealt_out = blocks(docs, depth, buckets)
-    wanted = dealt_out.where("bucket is not null").select("block", "bucket", "n", "grams")
+    wanted = dealt_out.where("bucket is not null").select("block", "bucket", "n", F.col("packed").alias("grams"))
 
     def once(asked: pa.Table) -> pa.Table:
         keys = distinct(np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]))[0]
@@ -389,7 +374,7 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int =
             _memories[name] = Memory(bits)
         memory, parts = _memories[name], []
 
-        def judged(rows: pa.Table, w: Words) -> pa.Table:
+        def judged(ids: pa.Array, row: int, w: Words) -> pa.Table:
             g, first = grams(w, depth)
             ends = np.concatenate((first[1:], [len(g)]))
             score = np.add.reduceat(memory.logs(g, own, own_logs), first)
@@ -400,19 +385,24 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int =
             begin = np.cumsum(sizes) - sizes
             left = h[~met]
             cut = np.concatenate(([0], np.cumsum(np.add.reduceat((~met).astype(np.int64), begin)))).astype(np.int32)
-            return pa.table({"doc_id": rows.column("doc_id"), "row": rows.column("row"), "n_tokens": sizes, "known": np.add.reduceat(met.astype(np.int64), begin), "base": np.add.reduceat(log, begin), "score": score, "n_bytes": ends - first, "left": pa.ListArray.from_arrays(pa.array(cut), pa.array(left))})
+            return pa.table({"doc_id": ids, "row": np.arange(row, row + len(ids)), "n_tokens": sizes, "known": np.add.reduceat(met.astype(np.int64), begin), "base": np.add.reduceat(log, begin), "score": score, "n_bytes": ends - first, "left": pa.ListArray.from_arrays(pa.array(cut), pa.array(left))})
+
+        def runs() -> Iterator[tuple[pa.Array, int, Words]]:
+            for i in range(texts.num_rows):
+                raw, ends = pa.decompress(texts.column("packed")[i].as_py(), texts.column("n")[i].as_py(), codec="zstd", asbytes=True), np.cumsum(texts.column("sizes")[i].values.to_numpy()).tolist()
+                yield texts.column("doc_ids")[i].values, texts.column("row")[i].as_py(), Words([raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], parting())
 
         # The block's grams in the order in which they were asked for.
-        own = distinct(np.concatenate([distinct(grams(Words(list(bytes_of(b.column("text"))), parting()), depth)[0])[0] for b in slices(texts.to_batches(), size=CHUNK)]))[0]
+        own = distinct(np.concatenate([distinct(grams(w, depth)[0])[0] for _, _, w in runs()]))[0]
         order, _ = dealt(own, buckets)
         own_logs = np.empty(len(own), np.float32)
         given = sorted(zip(logs.column("bucket").to_pylist(), logs.column("logs").to_pylist(), strict=True))
         own_logs[order] = np.frombuffer(b"".join(x for _, x in given), np.float32)
-        for b in slices(texts.to_batches(), size=CHUNK):
-            parts.append(judged(pa.Table.from_batches([b]), Words(list(bytes_of(b.column("text"))), parting())))
+        for ids, row, w in runs():
+            parts.append(judged(ids, row, w))
         return pa.concat_tables(parts)
 
-    texts = dealt_out.where("bucket is null").select("block", "row", "doc_id", "text")
+    texts = dealt_out.where("bucket is null").select("block", "row", "doc_ids", "sizes", "n", "packed")
     rows = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, n_bytes long, left array<long>")
     rows = staged(rows, "scored")
     rare = rows.select("row", F.explode("left").alias("key")).groupBy("row", "key").agg(F.count("*").alias("k"))
