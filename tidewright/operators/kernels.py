@@ -101,22 +101,34 @@ def hurst(close: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def finite(x: np.ndarray) -> np.ndarray:
+    return x[np.isfinite(x)]
+
+
 def fit_ar1(x: np.ndarray) -> tuple[float, float, float] | None:
-    """mu, phi (held to 0.01..0.99) and the deviation around the fitted line; None for fewer than five numbers."""
-    if np.isfinite(x).sum() < 5:
+    """mu, phi (held to 0.01..0.99) and the deviation around the fitted line, of the finite numbers; None for fewer than five."""
+    x = finite(x)
+    if len(x) < 5:
         return None
     a, b = x[:-1], x[1:]
     va = np.var(a)
-    slope = np.mean((a - a.mean()) * (b - b.mean())) / va if va > 0 else 0.0
-    start = b.mean() - slope * a.mean()
+    if va > 0:
+        slope = np.mean((a - a.mean()) * (b - b.mean())) / va
+        start = b.mean() - slope * a.mean()
+    else:  # a flat window: of all lines through it the one with the least coefficients
+        start = b.mean() / (1 + a[0] * a[0])
+        slope = start * a[0]
     phi = min(max(slope, 0.01), 0.99)
     sigma = math.sqrt(np.mean((b - start - phi * a) ** 2))
     return float(x.mean()), phi, sigma if sigma > 0 else max(float(x.std()) * 0.01, 1e-9)
 
 
 def slope(x: np.ndarray) -> float:
+    """Least-squares slope against the place; 0 for fewer than five numbers."""
+    if len(x) < 5:
+        return 0.0
     i = np.arange(len(x)) - (len(x) - 1) / 2
-    return float((i * (x - x.mean())).sum() / (i * i).sum()) if len(x) > 1 else 0.0
+    return float((i * (x - x.mean())).sum() / (i * i).sum())
 
 
 def residuals(x: np.ndarray, phi: float, mu: float) -> np.ndarray:
@@ -129,12 +141,15 @@ def cir_sigma2(x: np.ndarray, phi: float, mu: float) -> float:
 
 
 def jump_split(e: np.ndarray, z: float) -> tuple[float, float]:
-    s = float(e.std())
+    """Deviation of the residuals within z deviations, and the share beyond; of all, and 0, where either would leave too few; 1e-6 for flat ones."""
+    s = float(e.std()) if len(e) > 1 else 0.0
     if len(e) < 20:
-        return s, 0.0
+        return (s if len(e) > 1 else 1e-6), 0.0
+    if s <= 0:
+        return 1e-6, 0.0
     beyond = np.abs(e) > z * s
     kept = e[~beyond]
-    return (s if len(kept) < 10 else float(kept.std())), float(beyond.mean())
+    return (s, 0.0) if len(kept) < 10 else (float(kept.std()), float(beyond.mean()))
 
 
 def garch_nll(e: np.ndarray, omega: float, alpha: float, beta: float) -> float:
@@ -190,6 +205,7 @@ class Filter:
         self.mu = self.phi = self.s = 0.0
 
     def calibrate(self, window: np.ndarray) -> bool:
+        window = finite(window)
         fit = fit_ar1(window)
         if fit is None:
             return False
@@ -202,11 +218,14 @@ class Filter:
             self.s, self.share = jump_split(residuals(window, self.phi, self.mu), c.jump_z)
             self.s = max(self.s, 1e-8)
         elif self.model in ("garch", "var"):
-            self.e = residuals(window, self.phi, self.mu)
-            self.omega, self.alpha, self.beta = c.garch or fit_garch(self.e)
+            e = residuals(window, self.phi, self.mu)
+            self.omega, self.alpha, self.beta = c.garch or fit_garch(e)
             if self.v is None:
                 total = self.alpha + self.beta
-                self.v = self.omega / max(1 - total, 1e-6) if total < 1 else max(float(self.e.var()), 1e-12)
+                self.v = max(self.omega / max(1 - total, 1e-6) if total < 1 else float(e.var()), 1e-12)
+            if self.model == "var":  # the bands' distances, once for each calibration
+                stop = c.stop_pct or 50.0
+                self.low, self.high, self.stop_low, self.stop_high = np.percentile(e, (100 - c.entry_pct, c.entry_pct, 100 - stop, stop))
         return True
 
     def update(self, z: float) -> None:
@@ -217,7 +236,7 @@ class Filter:
             q = lambda: self.s * max(self.x, 1e-9) * room * c.q
             r, first = self.s * max(z, 1e-9) * c.noise, base * c.noise
         elif self.model in ("garch", "var"):
-            q, r = (lambda: self.v * room * c.q), self.v * c.noise
+            q, r = (lambda: self.v * room * max(c.q, 1e-6)), self.v * max(c.noise, 0.01)
             first = r
         else:
             var = self.s * self.s
@@ -322,7 +341,7 @@ def mean_reversion(model: str, open_: np.ndarray, high: np.ndarray, low: np.ndar
         if hmm is not None and t >= c.hmm_bars and np.isfinite(vols[t]):
             state = hmm.step(vols[t])
         if model == "var":
-            upper, lower = x + np.percentile(f.e, c.entry_pct), x + np.percentile(f.e, 100 - c.entry_pct)
+            upper, lower = x + f.high, x + f.low
         else:
             upper, lower = x + c.k * s, x - c.k * s
         out["mean_level"][t], out["sigma_stat"][t], out["upper_band"][t], out["lower_band"][t] = x, s, upper, lower
@@ -334,7 +353,7 @@ def mean_reversion(model: str, open_: np.ndarray, high: np.ndarray, low: np.ndar
             exits = (
                 (jump, "jump_stop_"),
                 (model != "var" and bool(c.z_stop) and s > 0 and abs(z - x) / s >= (c.z_stop or 0), "z_stop_"),
-                (model == "var" and bool(c.stop_pct) and not x + np.percentile(f.e, 100 - c.stop_pct) < z < x + np.percentile(f.e, c.stop_pct), "var_stop_"),
+                (model == "var" and bool(c.stop_pct) and not x + f.stop_low < z < x + f.stop_high, "var_stop_"),
                 (bool(c.half_lives) and held > (c.half_lives or 0) * f.half_life, "time_stop_"),
                 (ranges is not None and ranges[t] == ranges[t] and position * (entry - z) >= c.atr_stop * ranges[t], "atr_stop_"),
                 (back, "close_"),
@@ -359,7 +378,7 @@ def mean_reversion(model: str, open_: np.ndarray, high: np.ndarray, low: np.ndar
         elif z < lower and c.side != "short_only":
             if c.wick_min is not None and not (high[t] > low[t] and (min(open_[t], z) - low[t]) / (high[t] - low[t]) >= c.wick_min):
                 continue
-            if volume_mean is not None and not volume[t] >= c.volume_mult * volume_mean[t]:
+            if c.volume_mult is not None and not (volume_mean is not None and volume_mean[t] > 0 and volume[t] >= c.volume_mult * volume_mean[t]):
                 continue
             signal[t], position, entry, held = "long", 1, z, 0
     return out | {"signal": signal}

@@ -149,12 +149,12 @@ def cir_sigma(x: Column, phi: Column, mu: Column) -> Column:
 
 
 def jump_split(e: Column, z: float, least: int = 20, least_kept: int = 10) -> Column:
-    """sigma of the residuals within z deviations, and the share beyond; all of them where too few are."""
+    """sigma of the residuals within z deviations, and the share beyond; of all, and 0, where either would leave too few; 1e-6 for flat ones."""
 
     def split(e: Column, s: Column, kept: Column) -> Column:
-        few = F.size(e) < least
-        sigma = F.when(few | (F.size(kept) < least_kept), s).otherwise(array_std(kept))
-        return F.struct(sigma.alias("sigma"), F.when(few, 0.0).otherwise((F.size(e) - F.size(kept)) / F.size(e)).alias("share"))
+        whole = (F.size(e) < least) | (F.size(kept) < least_kept) | (s <= 0)
+        sigma = F.when(F.when(F.size(e) < least, F.size(e) < 2).otherwise(s <= 0), F.lit(1e-6)).when(whole, s).otherwise(array_std(kept))
+        return F.struct(sigma.alias("sigma"), F.when(whole, 0.0).otherwise((F.size(e) - F.size(kept)) / F.size(e)).alias("share"))
 
     return let(e, lambda e: let(array_std(e), lambda s: let(F.filter(e, lambda r: F.abs(r) <= z * s), lambda kept: split(e, s, kept))))
 

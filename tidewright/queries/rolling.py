@@ -96,7 +96,7 @@ def cir_sigma(spark, sf_dir):
 
 
 @area.add(f"""{fx.with_('bars_1h')}, {FRAMES}, k AS (SELECT *, list_stddev_pop(e) AS sd FROM e), q AS (SELECT *, list_filter(e, lambda v: abs(v) <= 2 * sd) AS kept FROM k)
- SELECT symbol, ts, round(CASE WHEN len(kept) < 10 THEN sd ELSE list_stddev_pop(kept) END, 3) AS sigma, round((len(e) - len(kept)) / len(e), 6) AS share FROM q""")
+ SELECT symbol, ts, round(CASE WHEN sd <= 0 THEN 1e-6 WHEN len(kept) < 10 THEN sd ELSE list_stddev_pop(kept) END, 3) AS sigma, round(CASE WHEN sd <= 0 OR len(kept) < 10 THEN 0 ELSE (len(e) - len(kept)) / len(e) END, 6) AS share FROM q""")
 def jump_split(spark, sf_dir):
     """Diffusion deviation and jump share of the residuals."""
     rows = _frames(spark, sf_dir).withColumn("j", ro.jump_split(F.col("e"), 2.0))

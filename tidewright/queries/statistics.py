@@ -115,7 +115,13 @@ def equity_sizing(spark, sf_dir):
     return out.join(rounded(sizing.sizing_summary(sim, ("symbol",)).drop("n_halted")), "symbol")
 
 
-@area.add()
+FLAT = f"""{SIZED}, fs AS (SELECT symbol, 10000 * 0.01 / avg(sigma) FILTER (WHERE sigma > 0) / 10.0 AS size FROM g GROUP BY symbol),
+ fe AS (SELECT g.symbol, i, net_pnl * size * 10.0 AS pnl, sum(net_pnl * size * 10.0) OVER (PARTITION BY g.symbol ORDER BY i) AS eq FROM g JOIN fs USING (symbol)), fk AS (SELECT *, max(eq) OVER (PARTITION BY symbol ORDER BY i) AS peak FROM fe)
+ SELECT a.symbol, round(a.e, 4) AS dynamic_equity, round(a.d, 4) AS dynamic_drawdown, round(f.e, 4) AS flat_equity, round(f.d, 4) AS flat_drawdown
+ FROM (SELECT symbol, max_by(equity, i) AS e, max_by(dd, i) AS d FROM z GROUP BY symbol) a JOIN (SELECT symbol, 10000 + sum(pnl) AS e, max(peak - eq) AS d FROM fk GROUP BY symbol) f USING (symbol)"""
+
+
+@area.add(FLAT)
 def flat_vs_dynamic(spark, sf_dir):
     """Sized by volatility against one size for all trades."""
     rows = sized(spark, sf_dir)
