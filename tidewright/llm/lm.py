@@ -103,8 +103,8 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(n, first) if len(k) else n
 
 
-def counted(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, key, n): how often each gram (true) and each token (false) occurs in docs (text)."""
+def counted(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """How often each gram and each token occurs in docs (text), summed by task: tokens as rows (key, n), grams packed by bucket (bucket, n, grams, counts). Written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {True: ([], []), False: ([], [])}
@@ -121,9 +121,15 @@ def counted(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         def rows(gram: bool) -> Iterator[pa.RecordBatch]:
             if held[gram][0]:
                 k, n = _merged(*held[gram])
-                for at in range(0, len(k), 100_000):
-                    part = k[at : at + 100_000]
-                    yield pa.RecordBatch.from_pydict({"gram": pa.array(np.full(len(part), gram)), "key": part, "n": n[at : at + 100_000]})
+                if gram:
+                    order, first = dealt(k, buckets)
+                    some = [x for x in range(buckets) if first[x] < first[x + 1]]
+                    parts = [order[first[x] : first[x + 1]] for x in some]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "key": pa.nulls(len(some), pa.int64()), "n": pa.array(list(map(len, parts)), pa.int64()), "grams": pa.array([packed(k[p]) for p in parts], pa.binary()), "counts": pa.array([packed(n[p]) for p in parts], pa.binary())})
+                else:
+                    for at in range(0, len(k), 100_000):
+                        part = k[at : at + 100_000]
+                        yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(len(part), pa.int32()), "key": part, "n": n[at : at + 100_000], "grams": pa.nulls(len(part), pa.binary()), "counts": pa.nulls(len(part), pa.binary())})
                 held[gram][0].clear()
                 held[gram][1].clear()
 
@@ -137,7 +143,7 @@ def counted(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for gram in held:
             yield from rows(gram)
 
-    return docs.select("text").mapInArrow(run, "gram boolean, key long, n long").groupBy("gram", "key").agg(F.sum("n").alias("n"))
+    return staged(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, key long, n long, grams binary, counts binary"), "counts")
 
 
 def with_log_kt(rows: DataFrame, out: str) -> DataFrame:
@@ -339,20 +345,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, bits: int = MEMO_BITS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row of docs (doc_id, text), learning from training (text); workers remember 2**bits grams."""
     spark = docs.sparkSession
-    counts = staged(counted(training, depth), "counts")
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(16, size // BLOCK) | 1
+    counts = counted(training, depth, buckets)
     dealt_out = blocks(docs, depth, buckets)
     wanted = dealt_out.where("bucket is not null").select("block", "bucket", "n", F.col("packed").alias("grams"))
 
-    def once(asked: pa.Table) -> pa.Table:
-        keys = distinct(np.concatenate([unpacked(k, n) for k, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]))[0]
-        return pa.table({"key": keys, "n": np.zeros(len(keys), np.int64)})
-
-    asked = wanted.select("bucket", "n", "grams").groupBy("bucket").applyInArrow(once, "key long, n long")
-    both = counts.where("gram").select("key", "n").unionAll(asked).groupBy("key").agg(F.sum("n").alias("n"))
+    def merged(packs: pa.Table) -> pa.Table:
+        """A bucket's distinct grams, of training and of texts to score, with their counts in training."""
+        keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, m, c in zip(packs.column("grams").to_pylist(), packs.column("n").to_pylist(), packs.column("counts").to_pylist(), strict=True):
+            keys.append(unpacked(k, m))
+            n.append(np.zeros(m, np.int64) if c is None else unpacked(c, m))
+        k, c = _merged(keys, n)
+        return pa.table({"key": k, "n": c})
+
+    packs = counts.where("bucket is not null").select("bucket", "n", "grams", "counts").unionByName(wanted.select("bucket", "n", "grams", F.lit(None).cast("binary").alias("counts")))
+    both = packs.groupBy("bucket").applyInArrow(merged, "key long, n long")
     found = looked_up(tree(both, depth), wanted, buckets)
-    words = counts.where("not gram").select("key", "n")
+    words = staged(counts.where("bucket is null").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct_tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The tokens of the highest powers of two, as many as FREQUENT allows, go to all tasks.
     room, least = FREQUENT, 62
