@@ -30,6 +30,31 @@ def first_per_second(ticks: DataFrame) -> DataFrame:
     return first_of(ticks.withColumn("second", F.date_trunc("second", "ts")), ["symbol", "second"], ["seq"]).drop("second")
 
 
+def latest_ticks(ticks: DataFrame) -> DataFrame:
+    """The last tick of each symbol by (ts, seq): a maximum of structs, summed before the shuffle."""
+    rest = [c for c in ticks.columns if c not in ("symbol", "ts", "seq")]
+    return ticks.groupBy("symbol").agg(F.max(F.struct("ts", "seq", *rest)).alias("x")).select("symbol", "x.*").select(*ticks.columns)
+
+
+def symbols_like(rows: DataFrame, *parts: str) -> DataFrame:
+    """The symbols whose upper-cased name contains any of the parts; all of them where none is given."""
+    found = F.lit(not parts)
+    for p in parts:
+        found = found | F.upper("symbol").contains(p)
+    return rows.where(found).select("symbol").distinct()
+
+
+def naive_utc(seconds: Column) -> Column:
+    """Epoch seconds as a UTC time without zone, whatever the session's zone is."""
+    return F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def normalised_rates(rates: DataFrame, order: str = "seq", prices: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """symbol, time (without zone), time_utc and prices of broker rates (symbol, time as epoch seconds, order, prices); the first of rows of one time stays."""
+    rows = first_of(rates.select("symbol", "time", order, *prices), ["symbol", "time"], [order])
+    return rows.select("symbol", naive_utc(F.col("time")).alias("time"), F.timestamp_seconds("time").alias("time_utc"), *prices)
+
+
 def offset_seconds(broker: Column, utc: Column) -> Column:
     """How far a broker's clock is ahead, rounded to minutes."""
     return (F.round((F.unix_micros(broker.cast("timestamp")) - F.unix_micros(utc.cast("timestamp"))) / 60e6) * 60).cast("int")

@@ -31,6 +31,12 @@ def _series(table: pa.Table) -> tuple[pa.Table, dict[str, np.ndarray]]:
     return table, {c: table.column(c).to_numpy().astype(float) for c in BARS[1:]}
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to so many tasks that the few, small but costly groups do not meet in one; adaptive execution would join such partitions again."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def signals(bars: DataFrame, model: str, config: kernels.Config, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """by, ts, idx (from 0 in each series), close, the model's bands (null before warm-up) and signal, a row for each bar."""
     names = bands(model)
@@ -44,7 +50,7 @@ def signals(bars: DataFrame, model: str, config: kernels.Config, by: tuple[str,
         cols += [pa.array(out[n], pa.float64(), from_pandas=True) for n in names] + [pa.array(out["signal"], pa.string())]
         return pa.Table.from_arrays(cols, names=[*by, "ts", "idx", "close", *names, "signal"])
 
-    return bars.select(*by, *BARS).groupBy(*by).applyInArrow(run, schema)
+    return spread(bars.select(*by, *BARS), *by).groupBy(*by).applyInArrow(run, schema)
 
 
 def grid_events(bars: DataFrame, model: str, grid: list[tuple[int, kernels.Config]], by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -67,7 +73,7 @@ def grid_events(bars: DataFrame, model: str, grid: list[tuple[int, kernels.Confi
         return pa.concat_tables(parts)
 
     rows = bars.select(*by, *BARS, F.explode(windows).alias("window"))
-    return rows.groupBy(*by, "window").applyInArrow(run, schema)
+    return spread(rows, *by, "window").groupBy(*by, "window").applyInArrow(run, schema)
 
 
 def hmm_gate_matters(n_bars: int, config: kernels.Config) -> bool:

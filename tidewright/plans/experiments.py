@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import metrics, strategies
 from ..operators.ingest import split_60_20_20
 from ..operators.kernels import Config
 from ..operators.trades import trades
+from ..sources.store import written
 from . import folds
 
 MIN_TRAIN, MIN_VALIDATION, TRIAL_TOP = 10, 15, 20
@@ -37,16 +40,17 @@ def walk_forward(bars: DataFrame, model: str, grid: list[Config], train_days: in
     """The choice of each fold (symbol, fold, cfg_id, n, net) and the trades of the chosen configurations on the test spans.
 
     Every configuration runs cold on the train spans; only the chosen ones do
-    on the test spans, each on the folds that chose it.
+    on the test spans, each on the folds that chose it. Choice and trades are
+    written tables, so that no reader runs the grid again.
     """
     by = ("symbol", "fold")
-    cut = folds.fold_bars(bars, train_days, test_days, step_days)
+    cut = written(folds.fold_bars(bars, train_days, test_days, step_days), "folds")
     numbered = list(enumerate(grid))
     events = strategies.grid_events(cut.where("segment = 'train'"), model, numbered, by)
-    choice = best(totals(trades(events, (*by, "cfg_id"), cost), by), by, least)
+    choice = written(best(totals(trades(events, (*by, "cfg_id"), cost), by), by, least), "choice")
     tested = strategies.grid_events(cut.where("segment = 'test'").join(choice.select(*by), list(by), "left_semi"), model, numbered, by)
     tested = tested.join(choice.select(*by, "cfg_id"), [*by, "cfg_id"], "left_semi")
-    return choice, trades(tested, (*by, "cfg_id"), cost)
+    return choice, written(trades(tested, (*by, "cfg_id"), cost), "test-trades")
 
 
 def stitched(rows: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def fixed_split(bars: DataFrame, model: str, grid: list[Config], cost: float, le
     """
     by = ("symbol", "part")
     parts = split_60_20_20(bars).where("part <> 'train'").drop("idx")
-    rows = trades(strategies.grid_events(parts, model, list(enumerate(grid)), by), (*by, "cfg_id"), cost)
+    rows = written(trades(strategies.grid_events(parts, model, list(enumerate(grid)), by), (*by, "cfg_id"), cost), "split-trades")
     validation, test = rows.where("part = 'validation'"), rows.where("part = 'test'")
     scores = totals(validation, ("symbol",))
     choice = best_or_busiest(scores, ("symbol",), least)
@@ -96,10 +100,11 @@ def fixed_split(bars: DataFrame, model: str, grid: list[Config], cost: float, le
     return mo.deflated(judged, F.lit(float(len(grid))), F.col("variance"))
 
 
-def ablation(bars: DataFrame, model: str, on: Config, off: Config, cost: float) -> DataFrame:
-    """symbol, on, n_trades, net, profit factor of a configuration with and without a gate."""
-    rows = trades(strategies.grid_events(bars, model, [(0, off), (1, on)]), ("symbol", "cfg_id"), cost)
-    return rows.groupBy("symbol", (F.col("cfg_id") == 1).alias("gated")).agg(F.count("*").alias("n_trades"), F.sum("net_pnl").alias("net"), metrics.profit_factor(F.col("net_pnl")).alias("profit_factor"))
+def ablation(bars: DataFrame, model: str, plain: list[Config], hmm_bars: int, cost: float) -> DataFrame:
+    """symbol, config (its place in plain), gated, n_trades, net, profit factor of each configuration with and without the regime gate."""
+    grid = [(2 * i + on, replace(c, hmm_bars=hmm_bars if on else None)) for i, c in enumerate(plain) for on in (0, 1)]
+    rows = trades(strategies.grid_events(bars, model, grid), ("symbol", "cfg_id"), cost)
+    return rows.groupBy("symbol", F.shiftright("cfg_id", 1).alias("config"), (F.col("cfg_id") % 2 == 1).alias("gated")).agg(F.count("*").alias("n_trades"), F.sum("net_pnl").alias("net"), metrics.profit_factor(F.col("net_pnl")).alias("profit_factor"))
 
 
 def correlation(validation: DataFrame, test: DataFrame, least: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import charts
 from ..operators import ingest
 from ..operators.ingest import first_of
 from ..sources import fixtures as fx
@@ -157,6 +158,37 @@ def chart_candles(spark, sf_dir):
     return fx.bars(spark, sf_dir).select("symbol", "ts", r("close").alias("close"), F.when(F.col("close") >= F.col("open"), "up").otherwise("down").alias("colour"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"))
 
 
+@area.add(f"{fx.with_('raw_ticks')} SELECT symbol, ts, seq, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS rn FROM raw_ticks) WHERE rn = 1")
+def latest_tick(spark, sf_dir):
+    """Each symbol's last tick."""
+    return ingest.latest_ticks(fx.raw_ticks(spark, sf_dir))
+
+
+@area.add(f"{fx.with_('raw_ticks')} SELECT DISTINCT symbol FROM raw_ticks WHERE contains(upper(symbol), 'CL') OR contains(upper(symbol), 'UR')")
+def symbol_search(spark, sf_dir):
+    """Symbols by parts of their names."""
+    return ingest.symbols_like(fx.raw_ticks(spark, sf_dir), "CL", "UR")
+
+
+@area.add(f"""{fx.with_('raw_ticks')}, s AS (SELECT symbol, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS sec, seq, price FROM raw_ticks), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, sec ORDER BY seq) AS rn FROM s)
+ SELECT symbol, make_timestamp(sec * 1000000) AS time, sec AS time_utc, price AS close FROM n WHERE rn = 1""")
+def rates_normalise(spark, sf_dir):
+    """Broker rates in epoch seconds to times with and without zone, the first of each."""
+    minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60) * 60
+    rates = fx.raw_ticks(spark, sf_dir).select("symbol", minute.alias("time"), "seq", F.col("price").alias("close"))
+    return ingest.normalised_rates(rates, prices=("close",)).withColumn("time_utc", F.unix_seconds("time_utc"))
+
+
+@area.add(f"""{fx.with_('bars_1h')}, n AS (SELECT *, lag(high) OVER w AS hi, lag(low) OVER w AS lo FROM bars_1h WINDOW w AS (PARTITION BY symbol ORDER BY ts)), m AS (SELECT symbol, ts, CAST(epoch(ts) AS BIGINT) AS t, close > hi AS up, close < lo AS down FROM n)
+ SELECT symbol, ts, CAST(CASE WHEN up THEN to_json({{'time': t, 'position': 'belowBar', 'color': '#26a69a', 'shape': 'arrowUp', 'text': 'LONG'}}) ELSE to_json({{'time': t, 'position': 'aboveBar', 'color': '#ef5350', 'shape': 'arrowDown', 'text': 'SHORT'}}) END AS VARCHAR) AS marker FROM m WHERE up OR down""")
+def chart_markers(spark, sf_dir):
+    """JSON markers of bars that close beyond the bar before."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    signal = F.when(F.col("close") > F.lag("high").over(w), "long").when(F.col("close") < F.lag("low").over(w), "short")
+    rows = fx.bars(spark, sf_dir).withColumn("signal", signal).where("signal is not null")
+    return rows.select("symbol", "ts", charts.marker(F.col("ts"), F.col("signal")).alias("marker"))
+
+
 @area.add(f"""{fx.with_('bars_1h')}, n AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS before, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars_1h)
  SELECT symbol, ts, round(close - before, 6) AS change, round((close - before) / before * 100, 6) AS pct FROM n WHERE rn = 1""")
 def latest_change(spark, sf_dir):

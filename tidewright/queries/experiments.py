@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, resample, strategies
+from ..operators import ingest, metrics, resample, strategies
 from ..operators.kernels import Config
 from ..operators.trades import trades
 from ..plans import experiments as ex
@@ -16,6 +16,8 @@ area = Area()
 #: The fixtures' walks revert within tens of bars: shorter windows and narrower bands than the production grids.
 SMALL = {"window": (10, 20), "k": (0.5, 1.0), "noise": ((1.0, 1.0), (2.0, 0.5)), "share": (None,)}
 TRAIN, TEST, LEAST = 90, 30, 2
+#: Window, k and noise of the ablation, at the fixtures' scale.
+ABLATION = ((20, 0.5, 1.0), (10, 0.5, 0.5), (10, 1.0, 1.0), (20, 0.5, 1.0), (15, 0.5, 1.0), (10, 0.5, 0.5))
 #: Walks run cold on each test span, which must be longer than a calibration window.
 LONG_TRAIN, LONG_TEST = 360, 120
 
@@ -124,18 +126,17 @@ def eval_long_only(spark, sf_dir):
 
 @area.add()
 def hmm_ablation(spark, sf_dir):
-    """One configuration with and without the regime gate."""
-    off, on = (Config(window=40, recalibrate=5, k=1.0, z_stop=3.0, half_lives=2.0, spread=fx.COST, hmm_bars=h) for h in (None, 200))
-    return rounded(ex.ablation(fx.bars(spark, sf_dir), "ou", on, off, fx.COST))
+    """Six configurations with and without the regime gate, on the test part."""
+    plain = [Config(window=w, recalibrate=5, k=k, z_stop=k + 1, q=1.0, noise=noise, tau=float(w), half_lives=2.0, spread=fx.COST) for w, k, noise in ABLATION]
+    test = ingest.split_60_20_20(fx.bars(spark, sf_dir)).where("part = 'test'").drop("idx", "part")
+    return rounded(ex.ablation(test, "ou", plain, 60, fx.COST))
 
 
 @area.add()
 def val_test_corr(spark, sf_dir):
     """How validation results rank test results."""
     by = ("symbol", "part")
-    from ..operators.ingest import split_60_20_20
-
-    parts = split_60_20_20(fx.bars(spark, sf_dir)).where("part <> 'train'").drop("idx")
+    parts = ingest.split_60_20_20(fx.bars(spark, sf_dir)).where("part <> 'train'").drop("idx")
     rows = ex.totals(trades(strategies.grid_events(parts, "ou", list(enumerate(small())), by), (*by, "cfg_id"), fx.COST), by)
     return rounded(ex.correlation(rows.where("part = 'validation'").drop("part"), rows.where("part = 'test'").drop("part"), LEAST), digits=4)
 

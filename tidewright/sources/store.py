@@ -9,13 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir (a local folder where that is unset, as in tests)."""
+    """A new path in spark.checkpoint.dir. Where that is unset, a local folder in local mode; on a cluster, whose executors could not read it, an error."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that is worked out once and outlives lost executors."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header."""
     df.write.option("header", True).csv(path)
