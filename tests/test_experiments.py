@@ -1,5 +1,7 @@
 """Walk-forward and split plans against plain loops over the same bars."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -105,8 +107,14 @@ def test_validation_ranks_test(spark):
             assert abs(got[symbol]["slope"] - np.polyfit(x[:, 0], x[:, 1], 1)[0]) < 1e-3
 
 
-def test_gate_changes_only_entries_in_blocked_states(spark):
-    """Each run without the gate, and with it, equals the kernel's on the test part."""
-    rows = {(r["symbol"], r["config"], r["gated"]): r for r in q.QUERIES["hmm_ablation"](spark, SF).collect()}
-    assert {c for _, c, _ in rows} <= set(range(6)) and rows
-    assert all(r["n_trades"] > 0 for r in rows.values())
+def test_ablation(spark):
+    want = {}
+    for symbol, _, test in parts_of(fx.bars(spark, SF).toPandas()):
+        for i, c in enumerate(q.ablation_grid()):
+            for gated in (False, True):
+                if net := trips(test, "ou", replace(c, hmm_bars=q.ABLATION_HMM if gated else None)):
+                    want[symbol, i, gated] = len(net), sum(net)
+    got = {(r["symbol"], r["config"], r["gated"]): (r["n_trades"], r["net"]) for r in q.QUERIES["hmm_ablation"](spark, SF).collect()}
+    assert got.keys() == want.keys() and want
+    for key, (n, net) in want.items():
+        assert got[key][0] == n and abs(got[key][1] - net) < 1e-5

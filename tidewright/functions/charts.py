@@ -18,8 +18,3 @@ def marker(ts: Column, signal: Column) -> Column:
         return F.struct(F.unix_seconds(ts.cast("timestamp")).alias("time"), *(F.lit(v).alias(k) for k, v in zip(("position", "color", "shape", "text"), kind, strict=True)))
 
     return F.to_json(F.when(signal == "short", one(SHORT)).when(signal == "long", one(LONG)).when(signal.isNotNull(), one(EXIT)))
-
-
-def line_point(ts: Column, value: Column) -> Column:
-    """The JSON point of a line; null where the line has no value."""
-    return F.when(value.isNotNull(), F.to_json(F.struct(F.unix_seconds(ts.cast("timestamp")).alias("time"), value.alias("value"))))

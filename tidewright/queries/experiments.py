@@ -21,6 +21,12 @@ ABLATION = ((20, 0.5, 1.0), (10, 0.5, 0.5), (10, 1.0, 1.0), (20, 0.5, 1.0), (15,
 #: Walks run cold on each test span, which must be longer than a calibration window.
 LONG_TRAIN, LONG_TEST = 360, 120
 
+ABLATION_HMM = 60
+
+
+def ablation_grid() -> list[Config]:
+    return [Config(window=w, recalibrate=5, k=k, z_stop=k + 1, q=1.0, noise=noise, tau=float(w), half_lives=2.0, spread=fx.COST) for w, k, noise in ABLATION]
+
 
 def small(model: str = "ou", **changes) -> list[Config]:
     return grids.configs(model, fx.COST, None, **(SMALL | changes))
@@ -127,9 +133,8 @@ def eval_long_only(spark, sf_dir):
 @area.add()
 def hmm_ablation(spark, sf_dir):
     """Six configurations with and without the regime gate, on the test part."""
-    plain = [Config(window=w, recalibrate=5, k=k, z_stop=k + 1, q=1.0, noise=noise, tau=float(w), half_lives=2.0, spread=fx.COST) for w, k, noise in ABLATION]
     test = ingest.split_60_20_20(fx.bars(spark, sf_dir)).where("part = 'test'").drop("idx", "part")
-    return rounded(ex.ablation(test, "ou", plain, 60, fx.COST))
+    return rounded(ex.ablation(test, "ou", ablation_grid(), ABLATION_HMM, fx.COST))
 
 
 @area.add()
