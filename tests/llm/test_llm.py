@@ -240,6 +240,30 @@ def test_op4_sql_and_edges(spark, duck):
     assert preference.preference_pairs(a.limit(0), b).count() == 0
 
 
+def test_op4_repeats_and_marks(spark, duck):
+    """Repeated turns are turns of their own; a text that holds marks is told apart; ties; SQL over such rows."""
+    turns = "conv_id long, turn int, role string, text string"
+    rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "a<|end|>\n<|assistant|>\nb"), (1, 1, "assistant", "zz"), (2, 0, "a|b", "<|"), (2, 1, "assistant", ""), (2, 2, "assistant", "x" * 5001), (None, 0, "user", "no id"), (3, None, "user", "no turn")]
+    df = docs_of(spark, rows, turns)
+    got = {r["conv_id"]: r for r in preference.preference_pairs(df, df.where("not (conv_id = 1 and text = 'q')").unionByName(docs_of(spark, [(1, 0, "user", "q")], turns))).collect()}
+    assert got.keys() == {1, 2} and got[1]["n_prefix"] == 1 and got[2]["chosen"] == ""
+    assert got[1]["chosen"].startswith("<|user|>\nq<|end|>\n<|assistant|>\na<||end|>\n<||assistant|>\nb<|end|>\n")
+    assert got[2]["prompt"].startswith("<|a||b|>\n<||<|end|>\n")
+    pair = preference.preference_pairs(docs_of(spark, [(1, 0, "user", "a<|end|>\n<|user|>\nb")], turns), docs_of(spark, [(1, 0, "user", "a"), (1, 1, "user", "b")], turns)).first()
+    assert pair["n_prefix"] == 0 and pair["chosen"] != pair["rejected"]
+    r = preference.formatted(preference.cut_short(df)).where("conv_id = 2").first()
+    assert (r["n_prefix"], r["chosen_mask"][0]["end"] - r["rejected_mask"][0]["end"]) == (2, 2501)
+    import pandas as pd
+
+    mem = duck.cursor()
+    mem.execute("CREATE SCHEMA IF NOT EXISTS op4; SET schema = 'op4'")
+    mem.register("given", pd.DataFrame([r for r in rows if None not in r], columns=["conv_id", "turn", "role", "text"]))
+    mem.execute("CREATE OR REPLACE TABLE op4.conversations AS SELECT * FROM given")
+    out = preference.formatted(preference.cut_short(df)).select("conv_id", "n_prefix", "prompt", "chosen", "rejected").collect()
+    want = mem.execute(f"SELECT conv_id, n_prefix, prompt, chosen, rejected FROM ({preference.OP4_SQL})").fetchall()
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
 def test_pieces_are_the_tokenizers_own():
     e = tokens.Encoder(tokens.tokenizer_path())
     rng = random.Random(3)
@@ -415,6 +439,27 @@ def test_op8_sql_and_edges(spark, duck):
     assert (got[3]["host"], got[3]["path"], got[3]["rule"]) == ("a.example.org", "/es/x", "example.org/es/") and got[4]["rule"] is None
 
 
+def test_op8_escapes_weights_and_tables(spark, duck):
+    import pandas as pd
+
+    urls = ["http://a.net/%70orn", "http://a.net/%50OR%4e/", "http://a.net%2Fporn", "http://a.net/%%370orn", "http://a.net/%FFporn", "http://a.net/free/download", "http://a.net/free/download/sex", "http://a.net/p%6frnx", "x%", None, "http://é.net/%C3%A9/xxx", "http://a.net/%2570orn", "http://a.net/%70orn"]
+    pages = docs_of(spark, list(enumerate(urls)), "page_id long, url string")
+    got = sorted(urlfilter.judged(pages).collect())
+    assert [r["verdict"] for r in got] == ["block", "block", "block", "allow", "allow", "allow", "block", "allow", "allow", "allow", "block", "allow", "block"]
+    mem = duck.cursor()
+    mem.execute("CREATE SCHEMA IF NOT EXISTS op8; SET schema = 'op8'")
+    mem.register("given", pd.DataFrame({"page_id": range(len(urls)), "url": urls}))
+    mem.execute("CREATE OR REPLACE TABLE op8.pages AS SELECT * FROM given")
+    want = mem.execute(f"SELECT page_id, verdict, n_strict, n_soft, soft_weight FROM ({urlfilter.OP8_SQL}) ORDER BY page_id").fetchall()
+    assert [(r["page_id"], r["verdict"], len(r["strict_hits"]), len(r["soft_hits"]), r["soft_weight"]) for r in got] == want
+    terms = docs_of(spark, [("Acme", True, None), ("one", None, None), ("one", False, 3.0), ("two", False, 0.25), (None, True, 1.0), ("", True, 1.0)], "term string, strict boolean, weight double")
+    v = urlfilter.vocabulary_of(terms)
+    assert v == urlfilter.Vocabulary(("acme",), (("one", 3.0), ("two", 0.25)))
+    found = urlfilter.judged(docs_of(spark, [(1, "http://ACME.io"), (2, "http://a.io/one"), (3, "http://a.io/one-two"), (3, "http://a.io/one-two")], "page_id long, url string"), vocabulary=v).collect()
+    assert [(r["page_id"], r["verdict"]) for r in found] == [(1, "block"), (2, "allow"), (3, "block"), (3, "block")]
+    assert urlfilter.judged(pages.limit(0)).count() == 0 and urlfilter.judged(pages, vocabulary=urlfilter.vocabulary_of(terms.limit(0))).where("verdict = 'block'").count() == 0
+
+
 def test_op9_places(spark, odd):
     df, rows = odd
     e = tokens.Encoder(tokens.tokenizer_path())
