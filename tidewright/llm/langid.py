@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of, slices, table
 
 FEATURES, SWITCH, SCRIPT_SHARE, SMOOTH, UNKNOWN = 1 << 15, 10.0, 0.01, 0.1, "und"
-CHUNK, MARK = 2_000_000, 1 << 24
+CHUNK, MARK = 1_000_000, 1 << 24
 #: Most languages that a model may have: it holds 2**15 numbers for each, at the driver and in every worker.
 LANGUAGES = 500
 #: First code points of ranges, and their scripts.

@@ -12,7 +12,7 @@ from .common import LOWER
 from .words import A, B, C, SHORT, Words, mixed, parting
 
 #: Words whose ids are remembered by a worker process (all are forgotten when there are more), and slots of its quick table.
-REMEMBERED, SLOT_BITS = 1_000_000, 21
+REMEMBERED, SLOT_BITS = 250_000, 20
 #: Bytes that part words in this use: only what the tokenizer drops between words in any case.
 BLANKS = parting(b" \n")
 #: Plain letters, which the normalizer leaves as they are and no pattern parts: a-z and those of UTF-8 C3 A0 to C3 BF but the division sign.
@@ -83,8 +83,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int32)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.at, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
         slots = 1 << SLOT_BITS
         self.one, self.two, self.length, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
 
