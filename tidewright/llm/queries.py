@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators, and their SQL."""
 
+from .bpe import op11_bpe
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .fingerprint import op1_fingerprint
 from .langid import op7_langid
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_urlfilter": op8_urlfilter,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_preference": OP4_SQL, "op6_neardup": OP6_SQL, "op8_urlfilter": OP8_SQL}

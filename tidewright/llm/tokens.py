@@ -9,10 +9,12 @@ from itertools import chain
 import numpy as np
 
 from .common import LOWER
-from .words import A, B, C, SHORT, Words, mixed, parting
+from .words import A, B, C, SHORT, Spans, Words, mixed, parting
 
 #: Words whose ids are remembered by a worker process (all are forgotten when there are more), and slots of its quick table.
 REMEMBERED, SLOT_BITS = 250_000, 20
+#: Ids of remembered words: where very long words make more, all are forgotten too.
+POOLED = 8_000_000
 #: Bytes that part words in this use: only what the tokenizer drops between words in any case.
 BLANKS = parting(b" \n")
 #: Plain letters, which the normalizer leaves as they are and no pattern parts: a-z and those of UTF-8 C3 A0 to C3 BF but the division sign.
@@ -61,25 +63,8 @@ def parted(w: Words) -> np.ndarray:
     return alone
 
 
-class Encoder:
-    """encode(texts): the ids of each text, no special tokens added.
-
-    Where by_words() holds, a word seen before needs no second encoding: words
-    of at most SHORT bytes are found in a table of slots by their bytes, others
-    and those not there in a dictionary. A text that may hold a special token's
-    string is encoded in one go; so is every text where by_words() does not hold.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.quick = by_words(self.tokenizer)
-        # Plain letters as the model sees them.
-        self.seen_as = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in PLAIN} if self.quick else {}
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
+class Memory:
+    """The ids of words that a worker has met: those of at most SHORT bytes are found in a table of slots by their bytes, others and those not there in a dictionary. All are forgotten where there are too many."""
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -89,11 +74,10 @@ class Encoder:
         self.one, self.two, self.length, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
 
     def learn(self, words: list[bytes], plain: list[bytes]) -> None:
-        """Encodes words; those of plain letters need the model alone."""
-        tokenize, seen_as = self.tokenizer.model.tokenize, self.seen_as
-        found = [[t.id for t in tokenize(x.decode().translate(seen_as))] for x in plain]
-        for at in range(0, len(words), 20_000):
-            found += [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in words[at : at + 20_000]], add_special_tokens=False)]
+        """Finds the ids of words not known and keeps them."""
+        raise NotImplementedError
+
+    def keep(self, words: list[bytes], found: list[list[int]]) -> None:
         k, size = len(self.known), np.fromiter(map(len, found), np.int32, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         while self.used + len(ids) > len(self.pool):
@@ -103,9 +87,9 @@ class Encoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.at[k : k + len(size)], self.size[k : k + len(size)] = self.used + np.cumsum(size) - size, size
         self.used += len(ids)
-        self.known.update(zip(chain(plain, words), range(k, k + len(size)), strict=True))
+        self.known.update(zip(words, range(k, k + len(size)), strict=True))
 
-    def entries(self, w: Words, plain: np.ndarray) -> np.ndarray:
+    def entries(self, w: Spans, plain: np.ndarray) -> np.ndarray:
         """The number of each word among those remembered; plain: whether it is plain letters alone."""
         one, two, n = w.keys()
         slot = (mixed(one * A + two * B + n.astype(np.uint64) * C) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -114,7 +98,7 @@ class Encoder:
         if len(missed):
             start = w.start[missed]
             found = [w.joined[i:j] for i, j in zip(start.tolist(), (start + n[missed]).tolist(), strict=True)]
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > REMEMBERED or self.used > POOLED and len(self.known):
                 self.forget()
                 return self.entries(w, plain)
             if new := dict(x for x in zip(found, plain[missed].tolist(), strict=True) if x[0] not in self.known):
@@ -125,6 +109,40 @@ class Encoder:
             self.one[at], self.two[at], self.length[at], self.entry[at] = one[short], two[short], n[short], out[short]
         return out
 
+    def gathered(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words numbered e, one after the other, and where each word's begin (and the last's end)."""
+        size = self.size[e].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self.pool[np.repeat(self.at[e] - total[:-1], size) + np.arange(total[-1])], total
+
+
+class Encoder(Memory):
+    """encode(texts): the ids of each text, no special tokens added.
+
+    Where by_words() holds, a word seen before needs no second encoding. A text
+    that may hold a special token's string is encoded in one go; so is every
+    text where by_words() does not hold.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.quick = by_words(self.tokenizer)
+        # Plain letters as the model sees them.
+        self.seen_as = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in PLAIN} if self.quick else {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def learn(self, words: list[bytes], plain: list[bytes]) -> None:
+        """Encodes words; those of plain letters need the model alone."""
+        tokenize, seen_as = self.tokenizer.model.tokenize, self.seen_as
+        found = [[t.id for t in tokenize(x.decode().translate(seen_as))] for x in plain]
+        for at in range(0, len(words), 20_000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in words[at : at + 20_000]], add_special_tokens=False)]
+        self.keep([*plain, *words], found)
+
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
@@ -136,10 +154,7 @@ class Encoder:
             alone = [i for i, t in enumerate(texts) if not self.quick or any(x in t.translate(LOWER) for x in self.special)]
             w = Words([b"" if i in set(alone) else t for i, t in enumerate(texts)], BLANKS)
         plain = parted(w)
-        e = self.entries(w, plain)
-        size = self.size[e].astype(np.int64)
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(self.at[e] - total[:-1], size) + np.arange(total[-1])]
+        ids, total = self.gathered(self.entries(w, plain))
         ends = total[w.first]
         if alone or end is not None:
             rest = [np.array([end], np.uint32)] if end is not None else []

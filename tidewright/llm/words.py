@@ -31,24 +31,14 @@ def parting(blanks: bytes = b" \t\n\v\f\r") -> bytes:
     return bytes(32 if b in blanks else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class Words:
-    """start and length of each word in `joined`; those of text i are first[i] to first[i + 1]."""
+class Spans:
+    """start and length of each span in `joined`, which has SHORT bytes after the last; those of text i are first[i] to first[i + 1]."""
 
-    def __init__(self, texts: list[bytes], table: bytes):
-        self.joined = b" ".join(texts).translate(table) + b" " * SHORT
-        raw = np.frombuffer(self.joined, np.uint8)
-        inside = raw != 32
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if inside[0]:
-            edge = np.concatenate(([0], edge))
-        self.start, end = edge[0::2], edge[1::2]
-        self.length = end - self.start
-        begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        self.first = np.searchsorted(self.start, begins)
-        self.first[-1] = len(self.start)
+    def __init__(self, joined: bytes, start: np.ndarray, length: np.ndarray, first: np.ndarray):
+        self.joined, self.start, self.length, self.first = joined, start, length, first
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first and the next eight bytes of each word as numbers, and its length."""
+        """The first and the next eight bytes of each span as numbers, and its length."""
         eight = np.ndarray((len(self.joined) - 7,), "<u8", self.joined, 0, (1,))
         n = self.length
         one = eight[self.start] & _MASKS[np.minimum(n, 8)]
@@ -61,7 +51,7 @@ class Words:
         return self.joined[self.start[i] : self.start[i] + self.length[i]]
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
+        """A 64-bit hash of each span, the same in every process."""
         one, two, n = self.keys()
         h = mixed(one * A + n.astype(np.uint64) * C)
         some = np.flatnonzero(n > 8)
@@ -69,3 +59,20 @@ class Words:
         for i in np.flatnonzero(n > SHORT).tolist():
             h[i] = xxhash.xxh64_intdigest(self.word(i))
         return h
+
+
+class Words(Spans):
+    """The runs of bytes that `table` makes no space of."""
+
+    def __init__(self, texts: list[bytes], table: bytes):
+        joined = b" ".join(texts).translate(table) + b" " * SHORT
+        raw = np.frombuffer(joined, np.uint8)
+        inside = raw != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edge = np.concatenate(([0], edge))
+        start, end = edge[0::2], edge[1::2]
+        begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        first = np.searchsorted(start, begins)
+        first[-1] = len(start)
+        super().__init__(joined, start, end - start, first)
