@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators, and their SQL."""
 
 from .bpe import op11_bpe
+from .centroids import OP12_SQL, op12_centroids
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .fingerprint import op1_fingerprint
 from .langid import op7_langid
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
     "op11_bpe": op11_bpe,
+    "op12_centroids": op12_centroids,
 }
 
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_preference": OP4_SQL, "op6_neardup": OP6_SQL, "op8_urlfilter": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_preference": OP4_SQL, "op6_neardup": OP6_SQL, "op8_urlfilter": OP8_SQL, "op12_centroids": OP12_SQL}
