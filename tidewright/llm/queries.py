@@ -11,6 +11,7 @@ from .packing import op9_packing
 from .pii import op10_pii
 from .preference import OP4_SQL, op4_preference
 from .tokenfile import op5_token_shards
+from .trie import OP13_SQL, op13_trie
 from .urlfilter import OP8_SQL, op8_urlfilter
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_bpe": op11_bpe,
     "op12_centroids": op12_centroids,
+    "op13_trie": op13_trie,
 }
 
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_preference": OP4_SQL, "op6_neardup": OP6_SQL, "op8_urlfilter": OP8_SQL, "op12_centroids": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_preference": OP4_SQL, "op6_neardup": OP6_SQL, "op8_urlfilter": OP8_SQL, "op12_centroids": OP12_SQL, "op13_trie": OP13_SQL}
