@@ -36,7 +36,7 @@ def test_hard_texts_one_by_one_and_together(library):
     assert ids_of(HARD) == want
     assert [ids_of([t])[0] for t in HARD] == want
     own = bpe.Fragments(bpe.bpe_path())
-    assert [own.decode(i) for i in want] == [library.decode(i, skip_special_tokens=False) for i in want] == HARD
+    assert [own.decode(np.array(i, np.int64)) for i in want] == [library.decode(i, skip_special_tokens=False) for i in want] == HARD
 
 
 def test_random_texts(library):
@@ -47,6 +47,16 @@ def test_random_texts(library):
     assert ids_of(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_texts_in_runs(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 40)
+    monkeypatch.setattr(bpe, "IDS", 7)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["word", " ", "  ", ". ", "\n", "'s", "é ", "<|endoftext|>", "12", " x", "\u3000"]) for _ in range(n)) for n in (0, 3, 50, 400, 1, 900)] + ["x" * 500]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids_of(texts) == want
+    assert [bpe.fragments(bpe.bpe_path()).decode(np.array(i, np.int64)) for i in want] == texts
+
+
 def test_never_joined_pairs_are_in_no_token(library):
     own = bpe.Fragments(bpe.bpe_path())
     tokens = [t for i, t in own.bytes_of.items() if t not in own.special]

@@ -20,7 +20,7 @@ Encoding and decoding keep rows where they are: no shuffle.
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 a special token's string is that token; repeated rows are encoded each; null
 ids decode to null, and bytes that are no UTF-8 to U+FFFD; a very long text is
-worked on alone, whole; an empty table gives an empty result.
+worked on in runs that end with a word (whole, if it has no blank); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ from .common import bytes_of, slices, table
 from .tokens import Memory, tokenizer_path
 from .words import SHORT, Spans
 
-#: Bytes of text that are encoded at once.
-CHUNK = 2_000_000
+#: Bytes of text that are encoded at once, and ids that are decoded at once.
+CHUNK, IDS = 500_000, 100_000
+#: Where a longer text may be parted: before a blank that ends a word, a piece begins whatever is around.
+WORD_END = re.compile(rb"[A-Za-z0-9.,](?= )")
 #: Classes of characters; UNKNOWN: not yet asked for.
 SPACE, LETTER, DIGIT, MARK, UNKNOWN = 0, 1, 2, 3, 255
 BLANK, APOSTROPHE = 32, 39
@@ -135,24 +138,43 @@ class Fragments(Memory):
         start = np.flatnonzero(edge)
         return Spans(joined + b" " * SHORT, start, np.diff(start, append=len(raw)), np.searchsorted(start, at))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids (unsigned 32-bit) of all texts, one after the other, and how many each has."""
-        parts, owner, special = [], [], []
+    def runs(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, int]]:
+        """(text's number, bytes, special token after them or -1): texts without their special tokens, in runs of about CHUNK bytes where they have blanks."""
         for i, t in enumerate(texts):
             found = self.parting.split(t) if self.parting else [t]
-            parts += found[0::2]
-            owner += [i] * len(found[0::2])
-            special += [self.special[x] for x in found[1::2]] + [-1]
-        w = self.cut(parts)
+            for part, token in zip(found[0::2], [*found[1::2], None], strict=True):
+                at = 0
+                while len(part) - at > CHUNK and (m := WORD_END.search(part, at + CHUNK)):
+                    yield i, part[at : m.end()], -1
+                    at = m.end()
+                yield i, part[at:] if at else part, -1 if token is None else self.special[token]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (unsigned 32-bit) of all texts, one after the other, and how many each has."""
+        ids, counts, some, size = [], np.zeros(len(texts), np.int64), [], 0
+        for run in chain(self.runs(texts), [None]):
+            if some and (run is None or size + len(run[1]) > CHUNK):
+                ids.append(self.encoded(some, counts))
+                some, size = [], 0
+            if run:
+                some.append(run)
+                size += len(run[1])
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), counts
+
+    def encoded(self, runs: list[tuple[int, bytes, int]], counts: np.ndarray) -> np.ndarray:
+        """The ids of runs(); adds to each text's count."""
+        w = self.cut([r[1] for r in runs])
         ids, total = self.gathered(self.entries(w, np.ones(len(w.start), bool)))
         ends = total[w.first]
-        counts, after = np.diff(ends), np.array(special, np.int64)
+        after = np.array([r[2] for r in runs], np.int64)
+        np.add.at(counts, [r[0] for r in runs], np.diff(ends) + (after >= 0))
         if (at := np.flatnonzero(after >= 0)).size:
             ids = np.insert(ids, ends[1:][at], after[at].astype(np.uint32))
-        return ids, np.bincount(owner, counts + (after >= 0), len(texts)).astype(np.int64)
+        return ids
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
+    def decode(self, ids: np.ndarray) -> str:
+        parts = (ids[at : at + IDS].tolist() for at in range(0, len(ids), IDS))
+        return b"".join(b"".join(map(self.bytes_of.__getitem__, x)) for x in parts).decode(errors="replace")
 
 
 @cache
@@ -165,18 +187,21 @@ def bpe_path() -> str:
     return tokenizer_path("byte_bpe_50k.json")
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of docs (doc_id, text), ids as an array of integers. No shuffle."""
+def encoded(docs: DataFrame, path: str | None = None, back: bool = False) -> DataFrame:
+    """(doc_id, ids) of docs (doc_id, text), ids as an array of integers; back: with `decoded`, the text of these ids. No shuffle."""
     path = path or bpe_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fragments(path)
         for b in slices(batches, size=CHUNK):
             ids, n = own.encode(list(bytes_of(b.column("text"))))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], names=["doc_id", "ids"])
+            ends = np.concatenate(([0], np.cumsum(n)))
+            out = {"doc_id": b.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))}
+            if back:
+                out["decoded"] = pa.array([own.decode(ids[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * back)
 
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -188,7 +213,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fragments(path)
         for b in batches:
-            texts = pa.array([None if x is None else own.decode(x) for x in b.column("ids").to_pylist()], pa.string())
+            texts = pa.array([own.decode(x.values.to_numpy()) if x.is_valid else None for x in b.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), texts], names=[*kept, "text"])
 
     return rows.select(*kept, "ids").mapInArrow(run, schema)
@@ -196,7 +221,6 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of ids, and the digests of its ids and of the text that they decode to."""
-    rows = encoded(table(spark, sf_dir, "documents"))
+    rows = encoded(table(spark, sf_dir, "documents"), back=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    rows = decoded(rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"))
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
