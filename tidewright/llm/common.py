@@ -45,6 +45,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """df written to the shared folder as a table bucketed by a column, which joins and groups by it read without a shuffle."""
+    spark = df.sparkSession
+    own = f"tidewright_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").options(compression="zstd", path=f"{shared_dir(spark)}/{own}").bucketBy(n, column).saveAsTable(own)
+    return spark.table(own)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in order, in runs of about `size` bytes of a text column; Spark bounds the batches' own bytes."""
     for b in batches:

@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices, staged, table
+from .common import bucketed, bytes_of, slices, table
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
-#: Bits for the number of a piece among those of its length; rows with ids that a task holds unpacked at once; bytes of text that it encodes at once.
+#: Bits for the number of a piece among those of its length; rows with ids that a task works on at once; bytes of text that it encodes at once.
 RANK_BITS, UNPACKED, CHUNK = 48, 512, 2_000_000
 
 
@@ -103,24 +103,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(runs, np.int64).reshape(-1, 4), used
 
 
-def squeezed(ids: np.ndarray, codec: pa.Codec) -> bytes:
-    """Ids (little-endian unsigned 32-bit) by byte planes, compressed."""
-    return codec.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
-
-
-def unsqueezed(data: bytes, n: int, codec: pa.Codec) -> bytes:
-    planes = np.frombuffer(codec.decompress(data, 4 * n, asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).tobytes()
-
-
 def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) and, for the packing, the task and the number of the piece among those of its length there; written to the shared folder, ids as squeezed()."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) and, for the packing, the task and the number of the piece among those of its length there; written to the shared folder in buckets by task."""
     path = path or tokenizer_path()
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        codec = pa.Codec("zstd")
         for b in slices(batches, size=CHUNK):
             ids, n = enc.encode(list(bytes_of(b.column("text"))), end_id)
             ids, pieces = ids.astype("<u4", copy=False), -(-n // capacity)
@@ -139,17 +128,25 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
             seen += np.bincount(length, minlength=capacity + 1)
             out = {"doc_id": b.column("doc_id").take(pa.array(row)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array(np.full(len(row), part, np.int32)), "nth": nth}
             if keep_ids:
-                out["ids"] = pa.array([squeezed(ids[i:j], codec) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                out["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_pydict(out)
 
-    return staged(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
+    return bucketed(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces", "part")
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset, without part and nth; ids, where there are any, are squeezed until they have their place."""
+    """pieces with sequence_id and offset, without part and nth; ids, where there are any, as little-endian unsigned 32-bit numbers.
+
+    The number of a piece among all of its length is its number within its task
+    and how many the tasks before have. Pieces are bucketed by task, so they meet
+    these numbers (at most one for each length, in one row for each task) where
+    they are read: ids move in no shuffle.
+    """
     sizes = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     # One row for each task and length: a window over one length meets at most as many rows as there were tasks.
     before = sizes.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    pair = F.sort_array(F.collect_list(F.struct("length", "before")))
+    before = before.groupBy("part").agg(pair.alias("x")).select("part", F.col("x.length").alias("lengths"), F.col("x.before").alias("befores"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each length at most
     runs, _ = plan(counts, capacity)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
@@ -159,17 +156,21 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, runs = shared.value
-        codec, few = pa.Codec("zstd"), UNPACKED if "ids" in names else None
+        few = UNPACKED if "ids" in names else None
         for b in (whole.slice(at, few) for whole in batches for at in range(0, whole.num_rows, few or max(whole.num_rows, 1))):
             rank = b.column("rank").to_numpy()
             own = runs[np.searchsorted(key, b.column("length").to_numpy() << RANK_BITS | rank, "right") - 1]
             kept = {c: b.column(c) for c in names}
             if few:
-                kept["ids"] = pa.array([unsqueezed(x, n, codec) for x, n in zip(kept["ids"].to_pylist(), kept["length"].to_pylist(), strict=True)], pa.binary())
+                raw = memoryview(kept["ids"].flatten().to_numpy().astype("<u4")).cast("B")
+                at = 4 * np.concatenate(([0], np.cumsum(kept["length"].to_numpy())))
+                kept["ids"] = pa.array([bytes(raw[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(own[:, 1] + rank - own[:, 0]), pa.array(np.ascontiguousarray(own[:, 2]))], names=[*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).select(*names, "rank")
-    return ranked.mapInArrow(run, ranked.drop("rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema)
+    rank = F.col("nth") + F.get("befores", F.array_position("lengths", F.col("length")).cast("int") - 1)
+    ranked = pieces.join(before.hint("shuffle_hash"), "part").select(*names, rank.alias("rank"))
+    kept = ranked.drop("rank").withColumn("ids", F.lit(b"")) if "ids" in names else ranked.drop("rank")
+    return ranked.mapInArrow(run, kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema)
 
 
 def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
