@@ -1,7 +1,10 @@
 """Bootstrap and Monte-Carlo baselines by counter-based draws.
 
-Draw i of run b is a fixed function of (b, i), so runs are spread over tasks,
-survive their loss, and are the same in any engine.
+Draw i of run b is a fixed function of (seed, salt, b, i), so runs are spread
+over tasks, survive their loss, and are the same in any engine. The function
+mixes 32 bits by shifts, exclusive ors and products that stay below 2**63:
+each bit of a counter turns about half of the bits drawn, so draws of one run
+are as good as independent, and so are those of two salts.
 """
 
 from __future__ import annotations
@@ -9,17 +12,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of the draw's linear congruence.
-RUN, STEP, SHIFT, MULTIPLIER, MODULUS = 1000003, 7919, 12345, 1103515245, 2147483648
+MODULUS = 1 << 32
+#: Fixed values of the mixing function: shift and odd factor of each step, and the last shift.
+STEPS, LAST = ((16, 0x21F0AAAD), (15, 0x735A2D97)), 15
+SEED = 20240607
+#: Resamples of a mean and simulations of a total, as in the walks.
+BOOTSTRAP_RUNS, SIMULATIONS = 5000, 1000
+#: Salts: the trade that is resampled, the place of entry, the direction.
+PICK, ENTRY, WAY = 0, 1, 2
 
 
-def draw(run: Column, i: Column, salt: int = 0) -> Column:
-    """A number below MODULUS."""
-    return ((run.cast("long") * RUN + i.cast("long") * STEP + SHIFT + salt) * MULTIPLIER + SHIFT) % MODULUS
+def mixed(x: int) -> int:
+    """The mixing function, of one number below MODULUS."""
+    for shift, factor in STEPS:
+        x = (x ^ x >> shift) * factor % MODULUS
+    return x ^ x >> LAST
 
 
-def draw_sql(run: str, i: str, salt: int = 0) -> str:
-    return f"((CAST({run} AS BIGINT) * {RUN} + CAST({i} AS BIGINT) * {STEP} + {SHIFT + salt}) * {MULTIPLIER} + {SHIFT}) % {MODULUS}"
+def _mixed(x: Column) -> Column:
+    for shift, factor in STEPS:
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(MODULUS - 1))
+    return x.bitwiseXOR(F.shiftright(x, LAST))
+
+
+def _mixed_sql(x: str) -> str:
+    for shift, factor in STEPS:
+        x = f"((xor({x}, {x} >> {shift}) * {factor}) & {MODULUS - 1})"
+    return f"xor({x}, {x} >> {LAST})"
+
+
+def key(salt: int, seed: int = SEED) -> int:
+    return mixed(mixed(seed % MODULUS) ^ salt)
+
+
+def draw(run: Column, i: Column, salt: int = PICK, seed: int = SEED) -> Column:
+    """A number below MODULUS; run and i are below it too."""
+    return _mixed(_mixed(run.cast("long").bitwiseXOR(F.lit(key(salt, seed)))).bitwiseXOR(i.cast("long")))
+
+
+def draw_sql(run: str, i: str, salt: int = PICK, seed: int = SEED) -> str:
+    inner = f"xor(CAST({run} AS BIGINT), {key(salt, seed)})"
+    return _mixed_sql(f"xor({_mixed_sql(inner)}, CAST({i} AS BIGINT))")
 
 
 def _runs(rows: DataFrame, runs: int) -> DataFrame:
@@ -36,21 +69,26 @@ def bootstrap(trades: DataFrame, by: tuple[str, ...], runs: int, value: str = "n
     return n.join(out, list(by))
 
 
-def monte_carlo(trades: DataFrame, bars: DataFrame, by: tuple[str, ...], runs: int, cost: float) -> DataFrame:
+def monte_carlo(trades: DataFrame, bars: DataFrame, by: tuple[str, ...], runs: int, cost: float, folds: tuple[str, ...] = (), number: str = "trade_no") -> DataFrame:
     """by, real, percentile, sim_mean, sim_std, sim_p05, sim_p95: the total against random entries.
 
     Every run draws for each trade a duration among the real ones (held to the
-    series), an entry and a direction; bars: by, idx, close.
+    series), an entry and a direction; bars: by, folds, idx, close. With folds,
+    durations and entries are drawn within the trade's own fold and a run's
+    total is that of all its folds; number then counts the trades of all folds,
+    and trade_no those of one. A fold of fewer than three bars has no draws.
     """
-    lengths = bars.groupBy(*by).agg(F.count("*").alias("n_bars"))
-    real = trades.groupBy(*by).agg(F.count("*").alias("n"), F.sum("net_pnl").alias("real"))
-    base = trades.select(*by, F.col("trade_no").alias("i")).join(real.select(*by, "n"), list(by)).join(lengths.where("n_bars >= 3"), list(by))
+    each = [*by, *folds]
+    lengths = bars.groupBy(*each).agg(F.count("*").alias("n_bars"))
+    counts = trades.groupBy(*each).agg(F.count("*").alias("n"))
+    real = trades.groupBy(*by).agg(F.sum("net_pnl").alias("real"))
+    base = trades.select(*each, F.col(number).alias("i")).join(counts, each).join(lengths.where("n_bars >= 3"), each)
     rows = _runs(base, runs).withColumn("trade_no", draw(F.col("run"), F.col("i")) % F.col("n"))
-    rows = rows.join(trades.select(*by, "trade_no", (F.col("exit_idx") - F.col("entry_idx")).alias("real_length")), [*by, "trade_no"])
+    rows = rows.join(trades.select(*each, "trade_no", (F.col("exit_idx") - F.col("entry_idx")).alias("real_length")), [*each, "trade_no"])
     span = F.least(F.greatest("real_length", F.lit(1)), F.col("n_bars") - 1)
-    rows = rows.select(*by, "run", span.alias("span"), (draw(F.col("run"), F.col("i"), 7) % (F.col("n_bars") - span)).alias("idx"), F.when(draw(F.col("run"), F.col("i"), 13) >= MODULUS // 2, 1.0).otherwise(-1.0).alias("way"))
-    closes = bars.select(*by, "idx", F.col("close"))
-    rows = rows.join(closes, [*by, "idx"]).withColumnsRenamed({"close": "a", "idx": "entry"}).withColumn("idx", F.col("entry") + F.col("span")).join(closes, [*by, "idx"])
+    way = F.when(draw(F.col("run"), F.col("i"), WAY) >= MODULUS // 2, 1.0).otherwise(-1.0)
+    rows = rows.select(*each, "run", span.alias("span"), (draw(F.col("run"), F.col("i"), ENTRY) % (F.col("n_bars") - span)).alias("idx"), way.alias("way"))
+    closes = bars.select(*each, "idx", F.col("close"))
+    rows = rows.join(closes, [*each, "idx"]).withColumnsRenamed({"close": "a", "idx": "entry"}).withColumn("idx", F.col("entry") + F.col("span")).join(closes, [*each, "idx"])
     totals = rows.groupBy(*by, "run").agg(F.sum(F.col("way") * (F.col("close") - F.col("a")) - cost).alias("total"))
-    out = totals.join(real, list(by)).groupBy(*by).agg(F.max("real").alias("real"), F.avg((F.col("total") < F.col("real")).cast("double")).alias("percentile"), F.avg("total").alias("sim_mean"), F.stddev_pop("total").alias("sim_std"), F.percentile("total", F.lit(0.05)).alias("sim_p05"), F.percentile("total", F.lit(0.95)).alias("sim_p95"))
-    return out
+    return totals.join(real, list(by)).groupBy(*by).agg(F.max("real").alias("real"), F.avg((F.col("total") < F.col("real")).cast("double")).alias("percentile"), F.avg("total").alias("sim_mean"), F.stddev_pop("total").alias("sim_std"), F.percentile("total", F.lit(0.05)).alias("sim_p05"), F.percentile("total", F.lit(0.95)).alias("sim_p95"))

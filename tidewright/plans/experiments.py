@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import moments as mo
-from ..operators import metrics, strategies
+from ..operators import metrics, resample, strategies
 from ..operators.ingest import split_60_20_20
 from ..operators.kernels import Config
 from ..operators.trades import trades
@@ -72,10 +72,20 @@ def commonest(choice: DataFrame) -> DataFrame:
     return n.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def fixed_walk_forward(bars: DataFrame, model: str, config: Config, train_days: int, test_days: int, cost: float) -> DataFrame:
-    """Test trades of one configuration over all folds, never chosen anew."""
-    cut = folds.fold_bars(bars, train_days, test_days).where("segment = 'test'")
-    return trades(strategies.grid_events(cut, model, [(0, config)], ("symbol", "fold")), ("symbol", "fold", "cfg_id"), cost)
+def fixed_walk_forward(bars: DataFrame, model: str, grid: list[Config], choice: DataFrame, train_days: int, test_days: int, cost: float) -> DataFrame:
+    """Test trades of each symbol's one configuration (choice: symbol, cfg_id) over all folds, never chosen anew."""
+    by = ("symbol", "fold")
+    cut = folds.fold_bars(bars, train_days, test_days).where("segment = 'test'").join(choice.select("symbol"), "symbol", "left_semi")
+    events = strategies.grid_events(cut, model, list(enumerate(grid)), by).join(choice.select("symbol", "cfg_id"), ["symbol", "cfg_id"], "left_semi")
+    return trades(events, (*by, "cfg_id"), cost)
+
+
+def random_entries(bars: DataFrame, rows: DataFrame, train_days: int, test_days: int, cost: float, runs: int = resample.SIMULATIONS) -> DataFrame:
+    """The total of a walk's test trades against as many random entries in the same folds, summed by simulation."""
+    w = Window.partitionBy("symbol", "fold").orderBy("ts")
+    test = folds.fold_bars(bars, train_days, test_days).where("segment = 'test'").select("symbol", "fold", "close", (F.row_number().over(w) - 1).cast("long").alias("idx"))
+    numbered = rows.withColumn("number", (F.row_number().over(Window.partitionBy("symbol").orderBy("fold", "trade_no")) - 1).cast("long"))
+    return resample.monte_carlo(numbered, test, ("symbol",), runs, cost, ("fold",), "number")
 
 
 def fixed_split(bars: DataFrame, model: str, grid: list[Config], cost: float, least: int = MIN_VALIDATION) -> DataFrame:

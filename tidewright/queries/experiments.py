@@ -90,6 +90,7 @@ _walk("wfo_ou", "ou", "Walk-forward of the constant-variance model.")
 _walk("wfo_cir", "cir", "Walk-forward of the level-dependent model.")
 _walk("wfo_jump", "jump", "Walk-forward of the jump model.", jump_z=(3.5,))
 _walk("wfo_garch", "garch", "Walk-forward of the clustered-variance model.", window=(20,), k=(0.5,), noise=((1.0, 1.0),))
+_walk("wfo_var", "var", "Walk-forward of the clustered-variance model with percentile bands.", window=(60,), entry_pct=(80.0, 90.0), stop_pct=(99.0, 99.5))
 _walk("wfo_trend", "trend", "Walk-forward of the channel breakout.")
 
 
@@ -97,16 +98,23 @@ _walk("wfo_trend", "trend", "Walk-forward of the channel breakout.")
 def wfo_significance(spark, sf_dir):
     """Bootstrap interval of the stitched test trades."""
     _, rows = ex.walk_forward(fx.daily(spark, sf_dir), "ou", small(), LONG_TRAIN, LONG_TEST, fx.COST, LEAST)
-    return rounded(resample.bootstrap(ex.stitched(rows).select("symbol", "trade_no", "net_pnl"), ("symbol",), 200))
+    return rounded(resample.bootstrap(ex.stitched(rows).select("symbol", "trade_no", "net_pnl"), ("symbol",), resample.BOOTSTRAP_RUNS))
+
+
+@area.add()
+def wfo_monte_carlo(spark, sf_dir):
+    """The stitched test trades against random entries in the same folds, summed by simulation."""
+    bars = fx.daily(spark, sf_dir)
+    _, rows = ex.walk_forward(bars, "ou", small(), LONG_TRAIN, LONG_TEST, fx.COST, LEAST)
+    return rounded(ex.random_entries(bars, rows, LONG_TRAIN, LONG_TEST, fx.COST), "percentile", digits=5)
 
 
 @area.add()
 def fixed_config_wf(spark, sf_dir):
-    """The commonest choice over all folds, never chosen anew."""
+    """Each symbol's commonest choice over all folds, never chosen anew."""
     bars, grid = fx.daily(spark, sf_dir), small()
     choice, _ = ex.walk_forward(bars, "ou", grid, LONG_TRAIN, LONG_TEST, fx.COST, LEAST)
-    top = ex.commonest(choice).select("cfg_id").first()  # one number
-    rows = ex.stitched(ex.fixed_walk_forward(bars, "ou", grid[top["cfg_id"] if top else 0], LONG_TRAIN, LONG_TEST, fx.COST))
+    rows = ex.stitched(ex.fixed_walk_forward(bars, "ou", grid, ex.commonest(choice), LONG_TRAIN, LONG_TEST, fx.COST))
     return rounded(metrics.trade_metrics(rows, ("symbol",)))
 
 

@@ -14,7 +14,6 @@ from .common import Area, r, rounded
 from .recursions import TRADES, channel_trades, hourly
 
 area = Area()
-RUNS = 200
 PF = "CASE WHEN coalesce(-sum(net_pnl) FILTER (WHERE net_pnl <= 0), 0) > 0 THEN coalesce(sum(net_pnl) FILTER (WHERE net_pnl > 0), 0) / -sum(net_pnl) FILTER (WHERE net_pnl <= 0) WHEN coalesce(sum(net_pnl) FILTER (WHERE net_pnl > 0), 0) > 0 THEN CAST('inf' AS DOUBLE) END"
 EQUITY = f"{TRADES}, q AS (SELECT *, sum(net_pnl) OVER (PARTITION BY symbol ORDER BY trade_no) AS equity FROM t), k AS (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY trade_no) AS peak FROM q)"
 
@@ -72,26 +71,26 @@ def hist20(spark, sf_dir):
     return metrics.histogram(returns(spark, sf_dir), "ret")
 
 
-@area.add(f"""{TRADES}, n AS (SELECT symbol, count(*) AS n, avg(net_pnl) AS mean FROM t GROUP BY symbol), dr AS (SELECT t.symbol, b.b, ({resample.draw_sql('b.b', 't.trade_no')}) % n.n AS pick FROM t JOIN n USING (symbol), range({RUNS}) b(b)),
+@area.add(f"""{TRADES}, n AS (SELECT symbol, count(*) AS n, avg(net_pnl) AS mean FROM t GROUP BY symbol), dr AS (SELECT t.symbol, b.b, ({resample.draw_sql('b.b', 't.trade_no')}) % n.n AS pick FROM t JOIN n USING (symbol), range({resample.BOOTSTRAP_RUNS}) b(b)),
  m AS (SELECT dr.symbol, dr.b, avg(t.net_pnl) AS m FROM dr JOIN t ON dr.symbol = t.symbol AND dr.pick = t.trade_no GROUP BY 1, 2), o AS (SELECT symbol, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS p_positive FROM m GROUP BY symbol)
  SELECT symbol, n, round(mean, 6) AS mean, round(lower, 6) AS lower, round(upper, 6) AS upper, round(p_positive, 6) AS p_positive FROM n JOIN o USING (symbol)""")
 def bootstrap_ci(spark, sf_dir):
     """Interval of the mean trade."""
-    return rounded(resample.bootstrap(channel_trades(spark, sf_dir).select("symbol", "trade_no", "net_pnl"), ("symbol",), RUNS))
+    return rounded(resample.bootstrap(channel_trades(spark, sf_dir).select("symbol", "trade_no", "net_pnl"), ("symbol",), resample.BOOTSTRAP_RUNS))
 
 
 @area.add(f"""{TRADES}, bars AS (SELECT symbol, idx, close FROM d), n AS (SELECT symbol, count(*) AS n, sum(net_pnl) AS real FROM t GROUP BY symbol), nb AS (SELECT symbol, count(*) AS n_bars FROM bars GROUP BY symbol),
- a AS (SELECT t.symbol, b.b, t.trade_no AS i, n.n, nb.n_bars, ({resample.draw_sql('b.b', 't.trade_no')}) % n.n AS pick FROM t JOIN n USING (symbol) JOIN nb USING (symbol), range({RUNS}) b(b)),
+ a AS (SELECT t.symbol, b.b, t.trade_no AS i, n.n, nb.n_bars, ({resample.draw_sql('b.b', 't.trade_no')}) % n.n AS pick FROM t JOIN n USING (symbol) JOIN nb USING (symbol), range({resample.SIMULATIONS}) b(b)),
  c AS (SELECT a.*, least(greatest(t.exit_idx - t.entry_idx, 1), n_bars - 1) AS span FROM a JOIN t ON a.symbol = t.symbol AND a.pick = t.trade_no),
- e AS (SELECT *, ({resample.draw_sql('b', 'i', 7)}) % (n_bars - span) AS entry, CASE WHEN ({resample.draw_sql('b', 'i', 13)}) >= {resample.MODULUS // 2} THEN 1.0 ELSE -1.0 END AS way FROM c),
+ e AS (SELECT *, ({resample.draw_sql('b', 'i', resample.ENTRY)}) % (n_bars - span) AS entry, CASE WHEN ({resample.draw_sql('b', 'i', resample.WAY)}) >= {resample.MODULUS // 2} THEN 1.0 ELSE -1.0 END AS way FROM c),
  sims AS (SELECT e.symbol, e.b, sum(way * (y.close - x.close) - {fx.COST}) AS total FROM e JOIN bars x ON x.symbol = e.symbol AND x.idx = e.entry JOIN bars y ON y.symbol = e.symbol AND y.idx = e.entry + e.span GROUP BY 1, 2)
- SELECT sims.symbol, round(max(real), 5) AS real, round(avg(CASE WHEN total < real THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(avg(total), 5) AS sim_mean, round(stddev_pop(total), 5) AS sim_std, round(quantile_cont(total, 0.05), 5) AS sim_p05, round(quantile_cont(total, 0.95), 5) AS sim_p95 FROM sims JOIN n USING (symbol) GROUP BY sims.symbol""")
+ SELECT sims.symbol, round(max(real), 7) AS real, round(avg(CASE WHEN total < real THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(avg(total), 7) AS sim_mean, round(stddev_pop(total), 7) AS sim_std, round(quantile_cont(total, 0.05), 7) AS sim_p05, round(quantile_cont(total, 0.95), 7) AS sim_p95 FROM sims JOIN n USING (symbol) GROUP BY sims.symbol""")
 def monte_carlo_baseline(spark, sf_dir):
     """The channel breakout against random entries."""
     w = Window.partitionBy("symbol").orderBy("ts")
     bars = hourly(spark, sf_dir).select("symbol", (F.row_number().over(w) - 1).cast("long").alias("idx"), "close")
-    rows = resample.monte_carlo(channel_trades(spark, sf_dir).select("symbol", "trade_no", "entry_idx", "exit_idx", "net_pnl"), bars, ("symbol",), RUNS, fx.COST)
-    return rounded(rows, "percentile", digits=5).withColumn("percentile", r("percentile"))
+    rows = resample.monte_carlo(channel_trades(spark, sf_dir).select("symbol", "trade_no", "entry_idx", "exit_idx", "net_pnl"), bars, ("symbol",), resample.SIMULATIONS, fx.COST)
+    return rounded(rows, "percentile", digits=7).withColumn("percentile", r("percentile"))
 
 
 def sized(spark, sf_dir):
