@@ -1,7 +1,13 @@
-"""Per-bar recursions and position rules in numpy, used by batch and stream alike.
+"""Recursions and position rules over a series that comes in blocks, for batch and stream alike.
 
-A row's calibration sees only rows before it; the filter then takes the row's
-own close. NaN stands for what is not known yet.
+What a series carries from block to block is bounded by its configurations
+(a tail of as many rows as the longest window, and a few numbers), so a series
+may be of any length. A row's calibration sees only rows before it; the filter
+then takes the row's own close. NaN stands for what is not known yet.
+
+A filter depends on window, calibration, noise and drift, and not on bands,
+stops and gates: configurations that agree in the former share one filter, and
+each finds its entries and exits in the filter's arrays.
 """
 
 from __future__ import annotations
@@ -48,41 +54,78 @@ class Config:
     garch: tuple[float, float, float] | None = None
 
 
-def ewm(x: np.ndarray, alpha: float, warmup: int = 0) -> np.ndarray:
+class Ewm:
     """y = (1 - alpha) y + alpha x from the first number on; a gap repeats y and lets its weight decay."""
-    out, y, weight, seen = np.full(len(x), NAN), NAN, 1.0, 0
-    for t, v in enumerate(x):
-        if v == v:
-            seen += 1
-            if seen == 1:
-                y = v
-            else:
+
+    def __init__(self, alpha: float, warmup: int = 0):
+        self.alpha, self.warmup, self.y, self.weight, self.seen = alpha, warmup, NAN, 1.0, 0
+
+    def block(self, x: np.ndarray) -> np.ndarray:
+        out, alpha, warmup, y, weight, seen = [], self.alpha, self.warmup, self.y, self.weight, self.seen
+        for v in x.tolist():
+            if v == v:
+                seen += 1
+                if seen == 1:
+                    y = v
+                else:
+                    weight *= 1 - alpha
+                    y = (weight * y + alpha * v) / (weight + alpha)
+                weight = 1.0
+            elif seen:
                 weight *= 1 - alpha
-                y = (weight * y + alpha * v) / (weight + alpha)
-            weight = 1.0
-        elif seen:
-            weight *= 1 - alpha
-        if seen and seen >= warmup:
-            out[t] = y
-    return out
+            out.append(y if seen and seen >= warmup else NAN)
+        self.y, self.weight, self.seen = y, weight, seen
+        return np.array(out)
 
 
-def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    before = np.concatenate(([NAN], close[:-1]))
-    return np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
+def ewm(x: np.ndarray, alpha: float, warmup: int = 0) -> np.ndarray:
+    return Ewm(alpha, warmup).block(x)
 
 
-def atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.ndarray:
-    return ewm(true_range(high, low, close), 1 / n, n)
+class Atr:
+    """Average true range."""
 
+    def __init__(self, n: int):
+        self.before, self.mean = NAN, Ewm(1 / n, n)
 
-def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.ndarray:
-    up, down = np.concatenate(([NAN], np.diff(high))), np.concatenate(([NAN], -np.diff(low)))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-        range_ = atr(high, low, close, n)
-        a, b = 100 * ewm(plus, 1 / n, n) / range_, 100 * ewm(minus, 1 / n, n) / range_
-        return ewm(np.where(a + b > 0, 100 * np.abs(a - b) / (a + b), NAN), 1 / n, n)
+    def block(self, x: dict[str, np.ndarray]) -> np.ndarray:
+        high, low, close = x["high"], x["low"], x["close"]
+        before = np.concatenate(([self.before], close[:-1]))
+        if len(close):
+            self.before = close[-1]
+        return self.mean.block(np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before))))
+
+
+class Adx:
+    """Directional movement."""
+
+    def __init__(self, n: int):
+        self.high = self.low = NAN
+        self.range, self.up, self.down, self.mean = Atr(n), Ewm(1 / n, n), Ewm(1 / n, n), Ewm(1 / n, n)
+
+    def block(self, x: dict[str, np.ndarray]) -> np.ndarray:
+        high, low = x["high"], x["low"]
+        up, down = np.diff(high, prepend=self.high), -np.diff(low, prepend=self.low)
+        if len(high):
+            self.high, self.low = high[-1], low[-1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+            range_ = self.range.block(x)
+            a, b = 100 * self.up.block(plus) / range_, 100 * self.down.block(minus) / range_
+            return self.mean.block(np.where(a + b > 0, 100 * np.abs(a - b) / (a + b), NAN))
+
+
+class Tail:
+    """The last n values of a series, set before each block."""
+
+    def __init__(self, n: int):
+        self.n, self.x = n, np.zeros(0)
+
+    def block(self, x: np.ndarray) -> tuple[np.ndarray, int]:
+        """Tail and block in one, and where the block begins."""
+        out, at = np.concatenate((self.x, x)), len(self.x)
+        self.x = out[max(len(out) - self.n, 0) :]
+        return out, at
 
 
 def relative_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
@@ -91,14 +134,41 @@ def relative_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.n
         return np.where(close > 0, (high - low) / close, NAN)
 
 
-def hurst(close: np.ndarray, n: int) -> np.ndarray:
-    out, d = np.full(len(close), NAN), np.concatenate(([0.0], np.diff(close)))
-    for t in range(n, len(close)):
-        r = d[t - n + 1 : t + 1]
-        y, s = np.cumsum(r - r.mean()), r.std()
-        if s > 0 and np.ptp(y) > 0:
-            out[t] = math.log(np.ptp(y) / s) / math.log(n)
-    return out
+class Hurst:
+    """log(range / deviation) / log(n) of the last n differences; the first row's difference is 0."""
+
+    def __init__(self, n: int):
+        self.n, self.tail, self.before = n, Tail(n - 1), NAN
+
+    def block(self, close: np.ndarray) -> np.ndarray:
+        d = np.diff(close, prepend=self.before if self.before == self.before else close[:1])
+        if len(close):
+            self.before = close[-1]
+        d, at = self.tail.block(d)
+        out = np.full(len(d), NAN)
+        # A row has n differences besides the first row's own.
+        if len(d) >= self.n:
+            r = np.lib.stride_tricks.sliding_window_view(d, self.n)
+            y, s = np.cumsum(r - r.mean(1, keepdims=True), axis=1), r.std(1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[self.n - 1 :] = np.where((s > 0) & (np.ptp(y, axis=1) > 0), np.log(np.ptp(y, axis=1) / s) / math.log(self.n), NAN)
+        return out[at:]
+
+
+class Extremes:
+    """Greatest and least of the n values before each row."""
+
+    def __init__(self, n: int):
+        self.n, self.tail = n, Tail(n)
+
+    def block(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = len(x)
+        x, at = self.tail.block(x)
+        high, low = np.full(len(x), NAN), np.full(len(x), NAN)
+        if len(x) > self.n:
+            frames = np.lib.stride_tricks.sliding_window_view(x, self.n)[: len(x) - self.n]
+            high[self.n :], low[self.n :] = frames.max(1), frames.min(1)
+        return high[at : at + rows], low[at : at + rows]
 
 
 def finite(x: np.ndarray) -> np.ndarray:
@@ -270,15 +340,32 @@ class Filter:
         return math.log(2) / self.theta
 
 
+class Series:
+    """One filter over a series: mean x, sigma_stat, half_life, deviation s and, for percentile bands, the bands' distances; NaN where a row has no calibration."""
+
+    NAMES = ("x", "sigma_stat", "half_life", "s", "low", "high", "stop_low", "stop_high")
+
+    def __init__(self, model: str, c: Config):
+        self.model, self.c, self.filter, self.tail, self.seen = model, c, Filter(model, c), Tail(c.window), 0
+
+    def block(self, close: np.ndarray) -> dict[str, np.ndarray]:
+        f, c, var = self.filter, self.c, self.model == "var"
+        whole, at = self.tail.block(close)
+        out = np.full((len(close), len(self.NAMES)), NAN)
+        for t, z in enumerate(close.tolist()):
+            g = self.seen + t
+            if g < c.window or (f.x is None or (g - c.window) % c.recalibrate == 0) and not f.calibrate(whole[at + t - c.window : at + t]):
+                continue
+            f.update(z)
+            out[t, :4] = f.x, f.sigma_stat, f.half_life, f.s
+            if var:
+                out[t, 4:] = f.low, f.high, f.stop_low, f.stop_high
+        self.seen += len(close)
+        return dict(zip(self.NAMES, out.T, strict=True))
+
+
 def filtered(model: str, close: np.ndarray, c: Config) -> dict[str, np.ndarray]:
-    out = {k: np.full(len(close), NAN) for k in ("x", "sigma_stat")}
-    f = Filter(model, c)
-    for t in range(c.window, len(close)):
-        if (f.x is None or (t - c.window) % c.recalibrate == 0) and not f.calibrate(close[t - c.window : t]):
-            continue
-        f.update(close[t])
-        out["x"][t], out["sigma_stat"][t] = f.x, f.sigma_stat
-    return out
+    return Series(model, c).block(close)
 
 
 class Regimes:
@@ -313,105 +400,208 @@ class Regimes:
         return int(self.belief.argmax())
 
 
-def _walk(n: int):
-    return np.full(n, None, object)
-
-
-def mean_reversion(model: str, open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray, c: Config) -> dict[str, np.ndarray]:
-    """Bands and signals of one series: long below the lower band, short above the upper, out at the mean."""
-    if c.side not in ("both", "long_only", "short_only"):
-        raise ValueError(f"no such side: {c.side}")
-    n = len(close)
-    out = {k: np.full(n, NAN) for k in ("mean_level", "sigma_stat", "upper_band", "lower_band")}
-    signal, f = _walk(n), Filter(model, c)
-    ranges = atr(high, low, close, c.atr_n) if c.atr_stop else None
-    trend = adx(high, low, close, c.adx_n) if c.adx_max else None
-    rough = hurst(close, c.hurst_n) if c.hurst_n else None
-    hmm, vols = None, relative_range(high, low, close)
-    if c.hmm_bars and n > c.hmm_bars:
-        hmm = Regimes.calibrated(vols[: c.hmm_bars])
-    volume_mean = np.concatenate((np.full(20, NAN), np.convolve(volume.astype(float), np.ones(20) / 20, "valid")))[:n] if c.volume_mult and n >= 20 else None
-    position, entry, held = 0, NAN, 0
-    for t in range(c.window, n):
-        z, state = close[t], None
-        if (f.x is None or (t - c.window) % c.recalibrate == 0) and not f.calibrate(close[t - c.window : t]):
-            continue
-        f.update(z)
-        x, s = f.x, f.sigma_stat
-        if hmm is not None and t >= c.hmm_bars and np.isfinite(vols[t]):
-            state = hmm.step(vols[t])
-        if model == "var":
-            upper, lower = x + f.high, x + f.low
-        else:
-            upper, lower = x + c.k * s, x - c.k * s
-        out["mean_level"][t], out["sigma_stat"][t], out["upper_band"][t], out["lower_band"][t] = x, s, upper, lower
-        jump = model == "jump" and abs(z - x) > c.jump_z * f.s
-        if position:
-            held += 1
-            side = "long" if position > 0 else "short"
-            back = (z >= x) if position > 0 else (z <= x)
-            exits = (
-                (jump, "jump_stop_"),
-                (model != "var" and bool(c.z_stop) and s > 0 and abs(z - x) / s >= (c.z_stop or 0), "z_stop_"),
-                (model == "var" and bool(c.stop_pct) and not x + f.stop_low < z < x + f.stop_high, "var_stop_"),
-                (bool(c.half_lives) and held > (c.half_lives or 0) * f.half_life, "time_stop_"),
-                (ranges is not None and ranges[t] == ranges[t] and position * (entry - z) >= c.atr_stop * ranges[t], "atr_stop_"),
-                (back, "close_"),
-            )
-            for hit, name in exits:
-                if hit:
-                    signal[t], position = name + side, 0
-                    break
-            continue
-        blocked = (
-            jump
-            or (trend is not None and trend[t] > c.adx_max)
-            or (rough is not None and rough[t] >= 0.5)
-            or (state is not None and state in c.hmm_block)
-            or (c.tau is not None and f.half_life > c.tau)
-            or (c.spread is not None and abs(z - x) < c.hurdle * c.spread)
-        )
-        if blocked:
-            continue
-        if z > upper and c.side != "long_only":
-            signal[t], position, entry, held = "short", -1, z, 0
-        elif z < lower and c.side != "short_only":
-            if c.wick_min is not None and not (high[t] > low[t] and (min(open_[t], z) - low[t]) / (high[t] - low[t]) >= c.wick_min):
-                continue
-            if c.volume_mult is not None and not (volume_mean is not None and volume_mean[t] > 0 and volume[t] >= c.volume_mult * volume_mean[t]):
+class Regime:
+    """The regime of each row from the calibration rows on; NaN before."""
+
+    def __init__(self, bars: int):
+        self.bars, self.vols, self.hmm, self.seen = bars, [], None, 0
+
+    def block(self, vols: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
+        """counted: the rows that move the belief; all, if not given."""
+        out = np.full(len(vols), NAN)
+        for t, v in enumerate(vols.tolist()):
+            if self.seen + t < self.bars:
+                self.vols.append(v)
                 continue
-            signal[t], position, entry, held = "long", 1, z, 0
-    return out | {"signal": signal}
-
-
-def trend_following(high: np.ndarray, low: np.ndarray, close: np.ndarray, c: Config) -> dict[str, np.ndarray]:
-    """Channel breakout: in beyond the entry channel of closes before, out through the exit channel or the ATR stop."""
-    n, signal = len(close), _walk(len(close))
-    out = {k: np.full(n, NAN) for k in ("entry_high", "entry_low", "exit_high", "exit_low")}
-    for name, m, f in (("entry_high", c.entry_n, np.max), ("entry_low", c.entry_n, np.min), ("exit_high", c.exit_n, np.max), ("exit_low", c.exit_n, np.min)):
-        if n > m:
-            out[name][m:] = f(np.lib.stride_tricks.sliding_window_view(close, m)[: n - m], axis=1)
-    ranges = atr(high, low, close, c.atr_n)
-    ema = ewm(close.astype(float), 2 / (c.ema_n + 1)) if c.ema_n else None
-    position, entry = 0, NAN
-    for t in range(max(c.entry_n, c.exit_n, c.ema_n or 0), n):
-        z = close[t]
-        if position:
-            side = "long" if position > 0 else "short"
-            if c.atr_stop and ranges[t] == ranges[t] and position * (entry - z) >= c.atr_stop * ranges[t]:
-                signal[t], position = f"atr_stop_{side}", 0
-            elif (position > 0 and z < out["exit_low"][t]) or (position < 0 and z > out["exit_high"][t]):
-                signal[t], position = f"close_{side}", 0
+            if self.hmm is None:
+                self.hmm, self.vols = Regimes.calibrated(np.array(self.vols)), []
+            if counted is None or counted[t]:
+                out[t] = self.hmm.step(v)
+        self.seen += len(vols)
+        return out
+
+
+@dataclass
+class Position:
+    """-1, 0 or 1, the close of entry and the rows held since."""
+
+    way: int = 0
+    entry: float = NAN
+    held: int = 0
+
+
+#: Rows that the search for an exit looks at first; each further look takes twice as many.
+LOOK = 32
+
+
+def events(p: Position, close: np.ndarray, ready: np.ndarray, long_in: np.ndarray, short_in: np.ndarray, exits: list[tuple[str, str, object]]) -> tuple[list[int], list[str]]:
+    """Places and names of a block's entries and exits, from one position to the next; p moves on.
+
+    exits in order of precedence: (name, kind, data). kind "row": a mask for
+    longs and one for shorts; "held": rows to be held at most; "loss": how far
+    the close may go against the entry. Rows that are not ready do not count.
+    """
+    at, names, n = [], [], len(close)
+    entries = np.flatnonzero((long_in | short_in) & ready)
+    count = np.cumsum(ready)
+    place, since = 0, -p.held  # rows counted up to the entry
+    while place < n:
+        if not p.way:
+            k = int(np.searchsorted(entries, place))
+            if k == len(entries):
+                break
+            place = int(entries[k])
+            p.way, p.entry = (-1 if short_in[place] else 1), float(close[place])
+            since = int(count[place])
+            at.append(place)
+            names.append("long" if p.way > 0 else "short")
+            place += 1
             continue
-        if z > out["entry_high"][t] and c.side != "short_only" and (ema is None or z > ema[t]):
-            signal[t], position, entry = "long", 1, z
-        elif z < out["entry_low"][t] and c.side != "long_only" and (ema is None or z < ema[t]):
-            signal[t], position, entry = "short", -1, z
-    return out | {"signal": signal}
+        size, found = LOOK, -1
+        while place < n and found < 0:
+            rows = slice(place, min(place + size, n))
+            masks = []
+            for _, kind, data in exits:
+                if kind == "row":
+                    masks.append(data[0 if p.way > 0 else 1][rows])
+                elif kind == "held":
+                    masks.append(count[rows] - since > data[rows])
+                else:
+                    masks.append(p.way * (p.entry - close[rows]) >= data[rows])
+            hit = np.logical_or.reduce(masks) & ready[rows]
+            if hit.any():
+                i = int(hit.argmax())
+                found = place + i
+                at.append(found)
+                names.append(next(name for (name, _, _), m in zip(exits, masks, strict=True) if m[i]) + ("long" if p.way > 0 else "short"))
+                p.way = 0
+            place, size = (found + 1 if found >= 0 else rows.stop), 2 * size
+    p.held = int(count[-1]) - since if n and p.way else 0
+    return at, names
+
+
+class Walk:
+    """The configurations of one model over one series that comes in blocks.
+
+    block(x: open, high, low, close, volume) gives the first configuration's
+    bands and, for each configuration, places (in the block) and names of its
+    events.
+    """
+
+    def __init__(self, model: str, configs: list[Config]):
+        if bad := {c.side for c in configs} - {"both", "long_only", "short_only"}:
+            raise ValueError(f"no such side: {bad.pop()}")
+        self.model, self.configs, self.seen = model, configs, 0
+        self.positions = [Position() for _ in configs]
+        self.parts: dict[tuple, object] = {}
+
+    def part(self, kind: type, *key) -> object:
+        """The one that configurations share."""
+        if (kind, *key) not in self.parts:
+            self.parts[kind, *key] = kind(*key)
+        return self.parts[kind, *key]
+
+    def filter_of(self, c: Config) -> Config:
+        """c with only what its filter depends on."""
+        kept = {"window": c.window, "recalibrate": c.recalibrate, "noise": c.noise, "q": c.q, "trend": c.trend, "garch": c.garch}
+        if self.model == "jump":
+            kept["jump_z"] = c.jump_z
+        if self.model == "var":
+            kept |= {"entry_pct": c.entry_pct, "stop_pct": c.stop_pct}
+        return Config(**kept)
+
+    def block(self, x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], list[tuple[list[int], list[str]]]]:
+        self.now: dict[tuple, object] = {}  # what configurations share of this block
+        rule = self.trend if self.model == "trend" else self.mean
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = [rule(x, c, p) for c, p in zip(self.configs, self.positions, strict=True)]
+        self.seen += len(x["close"])
+        return out[0][0], [e for _, e in out]
+
+    def shared(self, f, kind: type, *key):
+        """f(part) once for each block."""
+        if (kind, *key) not in self.now:
+            self.now[kind, *key] = f(self.part(kind, *key))
+        return self.now[kind, *key]
+
+    def mean(self, x: dict[str, np.ndarray], c: Config, p: Position) -> tuple[dict[str, np.ndarray], tuple[list[int], list[str]]]:
+        """Long below the lower band, short above the upper, out at the mean."""
+        z, model, own = x["close"], self.model, self.filter_of(c)
+        f = self.shared(lambda s: s.block(z), Series, model, own)
+        m, s = f["x"], f["sigma_stat"]
+        ready = m == m
+        upper, lower = (m + f["high"], m + f["low"]) if model == "var" else (m + c.k * s, m - c.k * s)
+        away = np.abs(z - m)
+        none = np.zeros(len(z), bool)
+        jump = away > c.jump_z * f["s"] if model == "jump" else none
+        blocked = jump.copy()
+        exits: list[tuple[str, str, object]] = [("jump_stop_", "row", (jump, jump))] if model == "jump" else []
+        if model != "var" and c.z_stop:
+            far = (s > 0) & (away / s >= c.z_stop)
+            exits.append(("z_stop_", "row", (far, far)))
+        if model == "var" and c.stop_pct:
+            out = ~((m + f["stop_low"] < z) & (z < m + f["stop_high"]))
+            exits.append(("var_stop_", "row", (out, out)))
+        if c.half_lives:
+            exits.append(("time_stop_", "held", c.half_lives * f["half_life"]))
+        if c.atr_stop:
+            exits.append(("atr_stop_", "loss", c.atr_stop * self.shared(lambda a: a.block(x), Atr, c.atr_n)))
+        exits.append(("close_", "row", (z >= m, z <= m)))
+        if c.adx_max:
+            blocked |= self.shared(lambda a: a.block(x), Adx, c.adx_n) > c.adx_max
+        if c.hurst_n:
+            blocked |= self.shared(lambda a: a.block(z), Hurst, c.hurst_n) >= 0.5
+        if c.hmm_bars:
+            vols = relative_range(x["high"], x["low"], z)
+            key = (Regime, c.hmm_bars, own)  # the belief moves where the filter has a mean
+            if key not in self.now:
+                self.now[key] = self.parts.setdefault(key, Regime(c.hmm_bars)).block(vols, ready & np.isfinite(vols))
+            blocked |= np.isin(self.now[key], c.hmm_block)
+        if c.tau is not None:
+            blocked |= f["half_life"] > c.tau
+        if c.spread is not None:
+            blocked |= away < c.hurdle * c.spread
+        short = (z > upper) & (c.side != "long_only")
+        long = ~short & (z < lower) & (c.side != "short_only")
+        if c.wick_min is not None:
+            span = x["high"] - x["low"]
+            long &= (span > 0) & ((np.minimum(x["open"], z) - x["low"]) / span >= c.wick_min)
+        if c.volume_mult is not None:
+            mean = self.shared(lambda t: volume_mean(t, x["volume"]), Tail, 20)
+            long &= (mean > 0) & (x["volume"] >= c.volume_mult * mean)
+        found = events(p, z, ready, long & ~blocked, short & ~blocked, exits)
+        return {"mean_level": m, "sigma_stat": s, "upper_band": upper, "lower_band": lower}, found
+
+    def trend(self, x: dict[str, np.ndarray], c: Config, p: Position) -> tuple[dict[str, np.ndarray], tuple[list[int], list[str]]]:
+        """In beyond the entry channel of closes before, out through the exit channel or the ATR stop."""
+        z = x["close"]
+        top, bottom = self.shared(lambda a: a.block(z), Extremes, c.entry_n)
+        above, below = self.shared(lambda a: a.block(z), Extremes, c.exit_n)
+        ready = self.seen + np.arange(len(z)) >= max(c.entry_n, c.exit_n, c.ema_n or 0)
+        exits: list[tuple[str, str, object]] = [("atr_stop_", "loss", c.atr_stop * self.shared(lambda a: a.block(x), Atr, c.atr_n))] if c.atr_stop else []
+        exits.append(("close_", "row", (z < below, z > above)))
+        over = under = np.ones(len(z), bool)
+        if c.ema_n:
+            ema = self.shared(lambda a: a.block(z), Ewm, 2 / (c.ema_n + 1), 0)
+            over, under = z > ema, z < ema
+        long = (z > top) & over & (c.side != "short_only")
+        short = ~long & (z < bottom) & under & (c.side != "long_only")
+        return {"entry_high": top, "entry_low": bottom, "exit_high": above, "exit_low": below}, events(p, z, ready, long, short, exits)
+
+
+def volume_mean(tail: Tail, volume: np.ndarray) -> np.ndarray:
+    """Mean of the 20 volumes before each row."""
+    rows, n = len(volume), tail.n
+    x, at = tail.block(volume)
+    out = np.full(len(x), NAN)
+    if len(x) > n:
+        out[n:] = np.lib.stride_tricks.sliding_window_view(x, n)[: len(x) - n].mean(1)
+    return out[at : at + rows]
 
 
 def run(model: str, x: dict[str, np.ndarray], c: Config) -> dict[str, np.ndarray]:
     """Bands and signals of one series of bars by a model: ou, cir, garch, var, jump or trend."""
-    if model == "trend":
-        return trend_following(x["high"], x["low"], x["close"], c)
-    return mean_reversion(model, x["open"], x["high"], x["low"], x["close"], x["volume"], c)
+    bands, [(at, names)] = Walk(model, [c]).block(x)
+    signal = np.full(len(x["close"]), None, object)
+    signal[at] = names
+    return bands | {"signal": signal}

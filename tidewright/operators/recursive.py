@@ -1,73 +1,53 @@
 """Ordered recursions over a series: smoothing, mean filters, regimes.
 
-A recursion carries state from bar to bar, which no window frame expresses.
-A series goes to one task as Arrow batches of its rows in order and is folded
-there by `kernels`; series, parameter sets and folds are what runs in
-parallel. Results are rows, not arrays.
+A recursion carries state from bar to bar, which no window frame expresses; it
+is folded over sorted batches (`carried`). For one long series see `scans`,
+which composes blocks of it instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels
+from .carried import carried, numbers
 
 
-def folded(rows: DataFrame, by: list[str], fold: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], add: str, ts: str = "ts") -> DataFrame:
-    """rows with the columns `add` that fold makes of each series (its columns as arrays, in order of ts; nulls are NaN)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + add
-    names = [x.strip().split()[0] for x in add.split(",")]
+def folded(rows: DataFrame, by: tuple[str, ...], inputs: tuple[str, ...], start: Callable[[], Any], block: Callable[[Any, dict[str, np.ndarray]], dict[str, np.ndarray]], add: tuple[str, ...]) -> DataFrame:
+    """rows with the columns `add` that block(state, inputs) makes of each batch of a series."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} double" for c in add])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(ts)
-        out = fold({c: table.column(c).to_pandas().to_numpy() for c in table.column_names})
-        for n in names:
-            x = out[n]
-            table = table.append_column(n, pa.array(x, from_pandas=True) if len(x) else pa.array([], pa.float64()))
-        return table
+    def step(state: Any, b: pa.RecordBatch) -> pa.RecordBatch:
+        out = block(state, numbers(b, inputs))
+        return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(out[c], pa.float64(), from_pandas=True) for c in add)], names=[*b.schema.names, *add])
 
-    return rows.groupBy(*by).applyInArrow(run, schema)
+    return carried(rows, by, "ts", lambda _: start(), step, schema)
 
 
 def ewm(rows: DataFrame, column: str, out: str, alpha: float, warmup: int = 0, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Exponential smoothing from the first value on; null before `warmup` values."""
-    return folded(rows, list(by), lambda x: {out: kernels.ewm(x[column].astype(float), alpha, warmup)}, f"{out} double")
+    return folded(rows, by, (column,), lambda: kernels.Ewm(alpha, warmup), lambda s, x: {out: s.block(x[column])}, (out,))
 
 
 def atr(rows: DataFrame, n: int = 14, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    return folded(rows, list(by), lambda x: {"atr": kernels.atr(x["high"], x["low"], x["close"], n)}, "atr double")
+    return folded(rows, by, ("high", "low", "close"), lambda: kernels.Atr(n), lambda s, x: {"atr": s.block(x)}, ("atr",))
 
 
 def adx(rows: DataFrame, n: int = 14, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    return folded(rows, list(by), lambda x: {"adx": kernels.adx(x["high"], x["low"], x["close"], n)}, "adx double")
+    return folded(rows, by, ("high", "low", "close"), lambda: kernels.Adx(n), lambda s, x: {"adx": s.block(x)}, ("adx",))
 
 
 def mean_filter(rows: DataFrame, model: str, by: tuple[str, ...] = ("symbol",), **params) -> DataFrame:
     """rows with x (filtered mean) and sigma_stat of a model: ou, cir, garch or jump."""
-
-    def fold(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        out = kernels.filtered(model, x["close"].astype(float), kernels.Config(**params))
-        return {"x": out["x"], "sigma_stat": out["sigma_stat"]}
-
-    return folded(rows, list(by), fold, "x double, sigma_stat double")
+    config = kernels.Config(**params)
+    return folded(rows, by, ("close",), lambda: kernels.Series(model, config), lambda s, x: s.block(x["close"]), ("x", "sigma_stat"))
 
 
 def regimes(rows: DataFrame, column: str, calibration: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """rows with the state (0 to 2) of a three-state volatility model, from the calibration rows on."""
-
-    def fold(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        v = x[column].astype(float)
-        state = np.full(len(v), np.nan)
-        if len(v) > calibration:
-            hmm = kernels.Regimes.calibrated(v[:calibration])
-            for t in range(calibration, len(v)):
-                state[t] = hmm.step(v[t])
-        return {"state": state}
-
-    return folded(rows, list(by), fold, "state double")
-
-
+    return folded(rows, by, (column,), lambda: kernels.Regime(calibration), lambda s, x: {"state": s.block(x[column])}, ("state",))

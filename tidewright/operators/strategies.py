@@ -1,9 +1,10 @@
 """Strategies over series of bars, one configuration or a whole grid.
 
-A series (symbol, or fold and segment of one) is an ordered recursion and so
-one group. Configurations that share a calibration window are run in one
-group, so that bars are sent to Python once for each window and not for each
-configuration; windows, series, folds and segments run in parallel.
+A series (symbol, or fold and segment of one) is an ordered recursion; its
+state is carried over sorted batches. Configurations that share a calibration
+window run together, so that bars are sent to Python once for each window, and
+those that share a filter run it once; windows, series, folds and segments run
+in parallel.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .carried import carried, numbers
 
-BARS = ("ts", "open", "high", "low", "close", "volume")
+INPUTS = ("open", "high", "low", "close", "volume")
+BARS = ("ts", *INPUTS)
 BANDS = {"trend": ("entry_high", "entry_low", "exit_high", "exit_low")}
 MEAN_BANDS = ("mean_level", "sigma_stat", "upper_band", "lower_band")
 
@@ -26,15 +29,14 @@ def bands(model: str) -> tuple[str, ...]:
     return BANDS.get(model, MEAN_BANDS)
 
 
-def _series(table: pa.Table) -> tuple[pa.Table, dict[str, np.ndarray]]:
-    table = table.sort_by("ts")
-    return table, {c: table.column(c).to_numpy().astype(float) for c in BARS[1:]}
-
-
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt by keys to so many tasks that the few, small but costly groups do not meet in one; adaptive execution would join such partitions again."""
-    spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+def banded(walk: kernels.Walk, batch: pa.RecordBatch, names: tuple[str, ...]) -> list[pa.Array]:
+    """idx, close, bands and signal of a batch of bars."""
+    first = walk.seen
+    x = numbers(batch, INPUTS)
+    found, [(at, events)] = walk.block(x)
+    signal = np.full(batch.num_rows, None, object)
+    signal[at] = events
+    return [pa.array(np.arange(first, walk.seen)), pa.array(x["close"], from_pandas=True), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in names), pa.array(signal, pa.string())]
 
 
 def signals(bars: DataFrame, model: str, config: kernels.Config, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -43,14 +45,10 @@ def signals(bars: DataFrame, model: str, config: kernels.Config, by: tuple[str,
     kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "ts")) + ", idx long, close double, " + ", ".join(f"{n} double" for n in names) + ", signal string"
 
-    def run(table: pa.Table) -> pa.Table:
-        table, x = _series(table)
-        out = kernels.run(model, x, config)
-        cols = [table.column(c) for c in (*by, "ts")] + [pa.array(np.arange(table.num_rows)), table.column("close")]
-        cols += [pa.array(out[n], pa.float64(), from_pandas=True) for n in names] + [pa.array(out["signal"], pa.string())]
-        return pa.Table.from_arrays(cols, names=[*by, "ts", "idx", "close", *names, "signal"])
+    def step(walk: kernels.Walk, b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in (*by, "ts")), *banded(walk, b, names)], names=[*by, "ts", "idx", "close", *names, "signal"])
 
-    return spread(bars.select(*by, *BARS), *by).groupBy(*by).applyInArrow(run, schema)
+    return carried(bars.select(*by, *BARS), by, "ts", lambda _: kernels.Walk(model, [config]), step, schema)
 
 
 def grid_events(bars: DataFrame, model: str, grid: list[tuple[int, kernels.Config]], by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -62,18 +60,19 @@ def grid_events(bars: DataFrame, model: str, grid: list[tuple[int, kernels.Confi
     kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", cfg_id int, ts {kinds['ts']}, idx long, close double, signal string"
 
-    def run(table: pa.Table) -> pa.Table:
-        table, x = _series(table)
-        parts = []
-        for cfg_id, c in groups[table.column("window")[0].as_py()]:
-            signal = kernels.run(model, x, c)["signal"]
-            at = np.array([i for i, s in enumerate(signal) if s is not None], np.int64)
-            rows = table.take(at)
-            parts.append(pa.Table.from_arrays([*(rows.column(k) for k in by), pa.array(np.full(len(at), cfg_id), pa.int32()), rows.column("ts"), pa.array(at), rows.column("close"), pa.array(signal[at], pa.string())], names=[*by, "cfg_id", "ts", "idx", "close", "signal"]))
-        return pa.concat_tables(parts)
+    def start(key: tuple) -> kernels.Walk:
+        return kernels.Walk(model, [c for _, c in groups[key[-1]]])
+
+    def step(walk: kernels.Walk, b: pa.RecordBatch) -> pa.RecordBatch:
+        first, x = walk.seen, numbers(b, INPUTS)
+        _, found = walk.block(x)
+        at = np.array([i for places, _ in found for i in places], np.int64)
+        ids = [cfg_id for (cfg_id, _), (places, _) in zip(groups[b.column("window")[0].as_py()], found, strict=True) for _ in places]
+        rows = b.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in by), pa.array(ids, pa.int32()), rows.column("ts"), pa.array(at + first), pa.array(x["close"][at], from_pandas=True), pa.array([n for _, names in found for n in names], pa.string())], names=[*by, "cfg_id", "ts", "idx", "close", "signal"])
 
     rows = bars.select(*by, *BARS, F.explode(windows).alias("window"))
-    return spread(rows, *by, "window").groupBy(*by, "window").applyInArrow(run, schema)
+    return carried(rows, (*by, "window"), "ts", start, step, schema)
 
 
 def hmm_gate_matters(n_bars: int, config: kernels.Config) -> bool:

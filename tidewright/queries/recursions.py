@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import recursive as rec
 from ..operators import strategies
 from ..operators import trades as tr
@@ -157,6 +160,14 @@ def strategy_ou(spark, sf_dir):
     return rows.where("signal is not null").select("symbol", "ts", "idx", "signal")
 
 
+@area.add(f"{fx.with_('bars_1h', recursive=True)}, {OU}, {POSITION} SELECT symbol, ts, CAST(idx AS BIGINT) AS idx, signal FROM z WHERE signal IS NOT NULL")
+def run_ou_sql(spark, sf_dir):
+    """The same as a table function of SQL."""
+    tables.register(spark)
+    text = "SELECT symbol, ts, idx, signal FROM run_ou(TABLE(SELECT symbol, ts, open, high, low, close, volume FROM {bars}) PARTITION BY (symbol) ORDER BY (ts), {rule}) WHERE signal IS NOT NULL"
+    return spark.sql(text, bars=hourly(spark, sf_dir), rule=json.dumps(RULE))
+
+
 def _walk_sql(model: str, sd: str, jump: str = "false", z_stop: str = "3.0", sv: str = "s") -> str:
     """The rule with its exits and the regime gate, walked over a model's bands: position, entry and bars held are the state."""
     return f"""{fx.with_('bars_1h', recursive=True)}, {model}, {REGIMES},
