@@ -644,3 +644,28 @@ def test_op10_adds_what_base_rules_miss(spark):
     got = {r["doc_id"]: r for r in pii.personal_data(docs_of(spark, rows)).collect()}
     assert all(not got[i]["base"] and [tuple(x) for x in got[i]["spans"]] == [span] for i, span in planted.items())
     assert not any(got[i]["spans"] for i in false)
+
+
+#: Clean numbers and words, and personal data that no base rule knows: (text, the added span's text or none).
+LOOKALIKES = (
+    ("order number 555-123-4567 was sent", None), ("ISBN 978 123 4567 is out of print", None), ("in 2019 555 1234 copies were sold", None), ("part 100-200-3000 fits", None),
+    ("see table 12 345 6789 below", None), ("meet us [at] noon [dot] today", None), ("version 210 555-1234 of the form", None), ("call about order 555-123-4567 again", None),
+    ("page 312 555-1234 and on", None), ("the sum of 415 555 1234 and more", None), ("call 415-555-1234 after six", "415-555-1234"), ("phone: (415) 555-1234 at night", "(415) 555-1234"),
+    ("my mobile 212 555-9876, please", "212 555-9876"), ("write to jane.doe [at] example [dot] org soon", "jane.doe [at] example [dot] org"), ("contact joe(at)mail(dot)net now", "joe(at)mail(dot)net"),
+)
+
+
+def test_op10_leaves_lookalikes(spark):
+    real = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text")
+    rows = real.unionByName(docs_of(spark, [(10**6 + k, t) for k, (t, _) in enumerate(LOOKALIKES)]))
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.personal_data(rows).where("doc_id >= 1000000").collect()}
+    for k, (text, found) in enumerate(LOOKALIKES):
+        assert [text[s:e] for s, _, e in got[10**6 + k]] == ([found] if found else []), text
+
+
+def test_op10_thresholds_need_both_sorts():
+    assert pii.threshold([(0.9, 50, 50)]) is None and pii.threshold([(0.9, 50, 0)]) is None and pii.threshold([]) is None
+    assert pii.threshold([(0.9, 20, 20), (0.1, 9, 0)]) is None
+    assert pii.threshold([(0.9, 20, 20), (0.6, 20, 19), (0.55, 20, 2), (0.1, 90, 0)]) == (0.6 + 0.55) / 2
+    assert pii.threshold([(0.9, 20, 20), (0.05, 90, 0)]) == 0.5
+    assert pii.threshold([(0.4, 20, 20), (0.1, 90, 0)]) is None
