@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..operators import recursive as rec
-from ..operators import strategies
+from ..operators import scans, strategies
 from ..operators import trades as tr
 from ..operators.kernels import Config
 from ..sources import fixtures as fx
@@ -16,6 +16,7 @@ from .common import Area, r, rounded
 from .rolling import AR1, W
 
 area = Area()
+HOUR = 3600
 NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc, lag(high) OVER (PARTITION BY symbol ORDER BY ts) AS ph, lag(low) OVER (PARTITION BY symbol ORDER BY ts) AS pl FROM bars_1h)"
 
 
@@ -27,7 +28,7 @@ def hourly(spark, sf_dir):
  SELECT symbol, ts, round(y, 6) AS ema FROM y""")
 def ewm_span20(spark, sf_dir):
     """Exponential mean of span 20."""
-    return rec.ewm(hourly(spark, sf_dir), "close", "ema", 2 / 21).select("symbol", "ts", r("ema").alias("ema"))
+    return scans.ewm(hourly(spark, sf_dir), {"close": "ema"}, 2 / 21, HOUR).select("symbol", "ts", r("ema").alias("ema"))
 
 
 @area.add(f"""{fx.with_('bars_1h', recursive=True)}, {NUMBERED}, t AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM n),
@@ -35,7 +36,7 @@ def ewm_span20(spark, sf_dir):
  SELECT symbol, ts, round(CASE WHEN i >= 14 THEN y END, 6) AS atr FROM y""")
 def atr14(spark, sf_dir):
     """Average true range."""
-    return rec.atr(hourly(spark, sf_dir)).select("symbol", "ts", r("atr").alias("atr"))
+    return scans.atr(hourly(spark, sf_dir), HOUR).select("symbol", "ts", r("atr").alias("atr"))
 
 
 @area.add(f"""{fx.with_('bars_1h', recursive=True)}, {NUMBERED}, t AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS up, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS down FROM n),
@@ -44,7 +45,7 @@ def atr14(spark, sf_dir):
  SELECT symbol, ts, round(z, 5) AS adx FROM z WHERE i >= 27""")
 def adx14(spark, sf_dir):
     """Directional movement."""
-    return rec.adx(hourly(spark, sf_dir)).select("symbol", "ts", r("adx", 5).alias("adx")).where("adx is not null")
+    return scans.adx(hourly(spark, sf_dir), HOUR).select("symbol", "ts", r("adx", 5).alias("adx")).where("adx is not null")
 
 
 HELD = """h AS (SELECT symbol, ts, idx, close, last_value(CASE WHEN (idx - {w}) % 5 = 0 THEN phi END IGNORE NULLS) OVER o AS phi, last_value(CASE WHEN (idx - {w}) % 5 = 0 THEN mu END IGNORE NULLS) OVER o AS mu, last_value(CASE WHEN (idx - {w}) % 5 = 0 THEN {s} END IGNORE NULLS) OVER o AS s FROM {t} WINDOW o AS (PARTITION BY symbol ORDER BY ts))"""
