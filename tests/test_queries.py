@@ -14,4 +14,5 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(library.QUERIES) - set(library.ORACLES)))
 def test_runs(spark, name):
     rows = library.QUERIES[name](spark, SF).collect()
-    assert name in ("hmm_filter", "strategy_ou_long_only", "wfo_garch") or rows
+    # Production grids trade seldom on the smallest table.
+    assert name in ("strategy_ou_long_only", "wfo_garch") or name.endswith("_grid") or rows

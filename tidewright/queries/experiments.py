@@ -76,9 +76,9 @@ def wfo_select(spark, sf_dir):
     return rounded(choice)
 
 
-def _walk(name: str, model: str, doc: str, **changes) -> None:
+def _walk(name: str, model: str, doc: str, grid: list[Config], train: int = LONG_TRAIN, test: int = LONG_TEST) -> None:
     def query(spark, sf_dir):
-        _, rows = ex.walk_forward(fx.daily(spark, sf_dir), model, small(model, **changes) if model != "trend" else grids.configs("trend", None, channel=((10, 5), (20, 10)), ema_n=(None,)), LONG_TRAIN, LONG_TEST, fx.COST, LEAST)
+        _, rows = ex.walk_forward(fx.daily(spark, sf_dir), model, grid, train, test, fx.COST, LEAST)
         rows = ex.stitched(rows)
         return rounded(metrics.trade_metrics(rows, ("symbol",)).join(ex.consistency(rows), "symbol"))
 
@@ -86,12 +86,15 @@ def _walk(name: str, model: str, doc: str, **changes) -> None:
     area.add()(query)
 
 
-_walk("wfo_ou", "ou", "Walk-forward of the constant-variance model.")
-_walk("wfo_cir", "cir", "Walk-forward of the level-dependent model.")
-_walk("wfo_jump", "jump", "Walk-forward of the jump model.", jump_z=(3.5,))
-_walk("wfo_garch", "garch", "Walk-forward of the clustered-variance model.", window=(20,), k=(0.5,), noise=((1.0, 1.0),))
-_walk("wfo_var", "var", "Walk-forward of the clustered-variance model with percentile bands.", window=(60,), entry_pct=(80.0, 90.0), stop_pct=(99.0, 99.5))
-_walk("wfo_trend", "trend", "Walk-forward of the channel breakout.")
+_walk("wfo_ou", "ou", "Walk-forward of the constant-variance model.", small())
+_walk("wfo_cir", "cir", "Walk-forward of the level-dependent model.", small("cir"))
+_walk("wfo_jump", "jump", "Walk-forward of the jump model.", small("jump", jump_z=(3.5,)))
+_walk("wfo_garch", "garch", "Walk-forward of the clustered-variance model.", small("garch", window=(20,), k=(0.5,), noise=((1.0, 1.0),)))
+_walk("wfo_var", "var", "Walk-forward of the clustered-variance model with percentile bands.", small("var", window=(60,), entry_pct=(80.0, 90.0), stop_pct=(99.0, 99.5)))
+_walk("wfo_trend", "trend", "Walk-forward of the channel breakout.", grids.configs("trend", None, channel=((10, 5), (20, 10)), ema_n=(None,)))
+#: The grids of production, on spans that hold their longest windows. The regime gate needs more bars than a span has.
+for _name in ("ou", "cir", "jump", "garch", "var", "trend"):
+    _walk(f"wfo_{_name}_grid", _name, f"Walk-forward of the whole {_name} grid.", grids.configs(_name, fx.COST), 720, 240)
 
 
 @area.add()
