@@ -54,7 +54,10 @@ OU = f"""{AR1}, {HELD.format(w=W, s='sigma * sigma', t='c')}, p AS (SELECT *, s
   UNION ALL SELECT p.symbol, p.ts, p.idx, p.s, p.phi, p.close, (p.phi * k.x + (1 - p.phi) * mu) + ((p.phi * p.phi * pp + q) / (p.phi * p.phi * pp + q + p.s)) * (p.close - (p.phi * k.x + (1 - p.phi) * mu)), (1 - (p.phi * p.phi * pp + q) / (p.phi * p.phi * pp + q + p.s)) * (p.phi * p.phi * pp + q) FROM p JOIN k ON p.symbol = k.symbol AND p.idx = k.idx + 1)"""
 
 
-@area.add(f"{fx.with_('bars_1h', recursive=True)}, {OU} SELECT symbol, ts, round(x, 4) AS x, round(sqrt(s) / sqrt(greatest(-2 * ln(phi), 1e-12)), 3) AS sigma_stat FROM k")
+KALMAN_OU_SQL = f"{fx.with_('bars_1h', recursive=True)}, {OU} SELECT symbol, ts, round(x, 4) AS x, round(sqrt(s) / sqrt(greatest(-2 * ln(phi), 1e-12)), 3) AS sigma_stat FROM k"
+
+
+@area.add(KALMAN_OU_SQL)
 def kalman_ou(spark, sf_dir):
     """Filtered mean with constant variance, calibrated every five bars."""
     rows = rec.mean_filter(hourly(spark, sf_dir), "ou", window=W, recalibrate=5)
@@ -154,14 +157,17 @@ POSITION = """b AS (SELECT symbol, ts, idx, close, x, x + sd AS upper, x - sd AS
    CASE WHEN z.pos = 1 AND b.close >= x THEN 'close_long' WHEN z.pos = -1 AND b.close <= x THEN 'close_short' WHEN z.pos <> 0 THEN NULL WHEN b.close > upper THEN 'short' WHEN b.close < lower THEN 'long' END FROM b JOIN z ON b.symbol = z.symbol AND b.idx = z.idx + 1)""".format(w=W)
 
 
-@area.add(f"{fx.with_('bars_1h', recursive=True)}, {OU}, {POSITION} SELECT symbol, ts, CAST(idx AS BIGINT) AS idx, signal FROM z WHERE signal IS NOT NULL")
+STRATEGY_OU_SQL = f"{fx.with_('bars_1h', recursive=True)}, {OU}, {POSITION} SELECT symbol, ts, CAST(idx AS BIGINT) AS idx, signal FROM z WHERE signal IS NOT NULL"
+
+
+@area.add(STRATEGY_OU_SQL)
 def strategy_ou(spark, sf_dir):
     """Signals of mean reversion with constant variance, no gates."""
     rows = strategies.signals(hourly(spark, sf_dir), "ou", Config(**RULE))
     return rows.where("signal is not null").select("symbol", "ts", "idx", "signal")
 
 
-@area.add(f"{fx.with_('bars_1h', recursive=True)}, {OU}, {POSITION} SELECT symbol, ts, CAST(idx AS BIGINT) AS idx, signal FROM z WHERE signal IS NOT NULL")
+@area.add(STRATEGY_OU_SQL)
 def run_ou_sql(spark, sf_dir):
     """The same as a table function of SQL."""
     tables.register(spark)

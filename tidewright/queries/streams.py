@@ -8,7 +8,10 @@ from ..operators.kernels import Config
 from ..sources import fixtures as fx
 from ..sources import store
 from ..streaming import bars as st
+from ..streaming import stateful
+from . import recursions as re
 from .common import Area, r, rounded
+from .rolling import W
 
 area = Area()
 BAR = "round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume"
@@ -48,17 +51,28 @@ def stream_upsert(spark, sf_dir):
     return rounded(table.read())
 
 
-@area.add()
-def stream_filter(spark, sf_dir):
-    """The mean filter of each symbol kept as a stream's state."""
-    bars = fx.bars(spark, sf_dir).select("symbol", "ts", "close")
-    folder = store.fresh(spark, "close-files")
+def in_two_files(spark, bars):
+    """A stream of bars that come in two files."""
+    folder = store.fresh(spark, "bar-files")
     cut = F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")
     for part in (bars.where(F.col("ts") < cut), bars.where(F.col("ts") >= cut)):
         part.coalesce(1).write.mode("append").parquet(folder)
-    stream = st.online_filter(st.files(spark, folder, bars.schema, per_trigger=1), "ou", Config(window=40, recalibrate=5))
-    rows = st.run_available(stream, "stream-filter")
+    return st.files(spark, folder, bars.schema, per_trigger=1)
+
+
+@area.add(re.KALMAN_OU_SQL)
+def stream_filter(spark, sf_dir):
+    """The mean filter of each symbol kept as a stream's state."""
+    bars = in_two_files(spark, fx.bars(spark, sf_dir).select("symbol", "ts", "close"))
+    rows = st.run_available(stateful.online_filter(bars, "ou", Config(window=W, recalibrate=5)), "stream-filter")
     return rows.select("symbol", "ts", r("x", 4).alias("x"), r("sigma_stat", 3).alias("sigma_stat"))
 
 
+@area.add(re.STRATEGY_OU_SQL)
+def stream_signals(spark, sf_dir):
+    """Signals of mean reversion as bars come: filter and position are a stream's state."""
+    rows = st.run_available(stateful.online_signals(in_two_files(spark, fx.bars(spark, sf_dir)), "ou", Config(**re.RULE)), "stream-signals")
+    return rows.select("symbol", "ts", "idx", "signal")
+
+
 QUERIES, ORACLES = area.queries, area.oracles

@@ -1,18 +1,14 @@
-"""Bars and filters over streams of ticks."""
+"""Bars and merges over streams of ticks."""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import ingest, kernels
+from ..operators import ingest
 from ..sources import store
 
 
@@ -73,30 +69,6 @@ class KeyedTable:
         self.versions.append(number)
 
 
-def online_filter(bars: DataFrame, model: str, config: kernels.Config) -> DataFrame:
-    """(symbol, ts, x, sigma_stat) of each bar as it comes: a series' filter and its last closes are the state.
-
-    bars: symbol, ts, close; batches must come in order of ts.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, closes, f = pickle.loads(state.get[0]) if state.exists else (0, np.zeros(0), kernels.Filter(model, config))
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, close in zip(rows["ts"], rows["close"], strict=True):
-            if seen >= config.window:
-                due = f.x is None or (seen - config.window) % config.recalibrate == 0
-                if not due or f.calibrate(closes):
-                    f.update(close)
-                    out.append((key[0], ts, f.x, f.sigma_stat))
-            closes = np.append(closes, close)[-config.window :]
-            seen += 1
-        state.update((pickle.dumps((seen, closes, f)),))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "x", "sigma_stat"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp_ntz, x double, sigma_stat double", "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
 class Freshness(StreamingQueryListener):
     """Last success, rows and error of each query, by name."""
 
