@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.kernels import Config
 from ..sources import fixtures as fx
-from ..sources import store
+from ..sources import days, store
 from ..streaming import bars as st
 from ..streaming import stateful
 from . import recursions as re
@@ -45,9 +45,11 @@ def stream_upsert(spark, sf_dir):
     cut = F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")
     for part in (bars.where(F.col("ts") < cut), bars.where(F.col("ts") >= cut - F.expr("INTERVAL 3 HOURS"))):
         part.coalesce(1).write.mode("append").parquet(folder)
-    table = st.KeyedTable(spark, bars.schema, ["symbol", "ts"])
+    lease = days.Lease(spark, store.fresh(spark, "bars-lease"))
+    lease.acquire()
+    table = days.DayTable(spark, store.fresh(spark, "bars"), bars.schema, ["symbol", "ts"], lease)
     stream = st.files(spark, folder, bars.schema, per_trigger=1)
-    st.poll(stream, lambda batch, n: table.merge(batch.withColumn("seq", F.lit(n).cast("long")), n), store.fresh(spark, "upsert-state"), None).awaitTermination()
+    st.poll(stream, table.merge, store.fresh(spark, "upsert-state"), None).awaitTermination()
     return rounded(table.read())
 
 

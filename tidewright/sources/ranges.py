@@ -20,7 +20,8 @@ Options: path; start, end; chunk_days (0: one chunk); timeframe (m5, m15, h1,
 d1; without it ticks are given); offset_minutes, by which the broker's clock
 is ahead; columns symbol_column, time_column, seq_column, price_column of the
 table. A stream also takes page_minutes, overlap_minutes (which are read again
-before each page, for merges by key) and progress.
+before each page, for merges by key), progress, and begin (broker time without
+zone, a page's end: earlier rows are not given).
 """
 
 from __future__ import annotations
@@ -162,6 +163,7 @@ class PageReader(DataSourceStreamReader):
         progress = options["progress"]
         self.store, self.folder = pafs.FileSystem.from_uri(progress) if "://" in progress else (pafs.LocalFileSystem(), progress)
         self.asked = False
+        self.begin = dt.datetime.fromisoformat(options["begin"]) if "begin" in options else None
 
     def given(self) -> dt.datetime | None:
         """How far pages have been given."""
@@ -178,6 +180,8 @@ class PageReader(DataSourceStreamReader):
         self.store.move(f"{self.folder}/given.new", f"{self.folder}/given")
 
     def initialOffset(self) -> dict:
+        if self.begin is not None:
+            return {"until": micros(self.begin)}
         spans = self.table.spans().values()
         return {"until": micros(self.floor(min((a for a, _ in spans), default=EPOCH)))}
 
@@ -188,6 +192,7 @@ class PageReader(DataSourceStreamReader):
         at, asked, self.asked = self.given(), self.asked, True
         if at is not None and not asked:
             return {"until": micros(at)}  # after a restart: the last page once more
+        at = max(filter(None, (at, self.begin)), default=None)
         later = [(max(a, at or a), b) for a, b in self.table.spans().values() if at is None or b >= at]
         if not later:
             return {"until": micros(at)} if at else self.initialOffset()

@@ -29,8 +29,9 @@ STATUS = T.StructType([
 ])
 TABLES = {"bars": BARS, "plain_bars": PLAIN_BARS, "rates": RATES, "ticks": TICKS, "macro": MACRO, "status": STATUS}
 
-#: Database, price of a pip and default cost in pips of each symbol.
-DATABASES = {"XAUUSD": "raw_gold", "EURUSD": "raw_eurusd", "NDX100": "raw_ndx100"}
+#: Database of each symbol, those that drive others and come by the hour alone, price of a pip and default cost in pips.
+DATABASES = {"XAUUSD": "raw_gold", "EURUSD": "raw_eurusd", "NDX100": "raw_ndx100", "XAGUSD": "raw_silver", "USDX": "raw_dxy", "VIX": "raw_vix"}
+MACRO_SYMBOLS = ("XAGUSD", "USDX", "VIX")
 PIP = {"XAUUSD": 0.1, "EURUSD": 0.0001, "NDX100": 1.0}
 COST_PIPS = 1.2
 SECONDS = {"m5": 300, "m15": 900, "h1": 3600, "d1": 86400}
@@ -40,10 +41,22 @@ def database(symbol: str | None = None) -> str:
     """The database of a symbol (XAUUSD if none is named); a ValueError names one that has none."""
     symbol = symbol or "XAUUSD"
     if symbol not in DATABASES:
-        raise ValueError(f"no RAW_DB for symbol {symbol!r}; known: {', '.join(sorted(DATABASES))}")
+        raise ValueError(f"no database for symbol {symbol!r}; known: {', '.join(sorted(DATABASES))}")
     return DATABASES[symbol]
 
 
+def timeframes(symbol: str) -> tuple[str, ...]:
+    """The bars that are kept of a symbol: hours alone for those that drive others."""
+    database(symbol)
+    return ("h1",) if symbol in MACRO_SYMBOLS else ("m5", "m15", "h1")
+
+
+def bar_schema(symbol: str) -> T.StructType:
+    """The shape of a symbol's bars; those that drive others name no source."""
+    database(symbol)
+    return PLAIN_BARS if symbol in MACRO_SYMBOLS else BARS
+
+
 def cost(symbol: str, pips: float = COST_PIPS) -> float:
     """Price units that a round trip costs."""
     return pips * PIP[symbol]

@@ -45,30 +45,6 @@ def poll(stream: DataFrame, handle: Callable[[DataFrame, int], None], state: str
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", state).trigger(**trigger).start()
 
 
-class KeyedTable:
-    """A Parquet table that batches are merged into by key, the last write winning.
-
-    Each batch writes a new version beside the old one and names it by the
-    batch, so a batch that runs again after a failure merges from the same
-    version as before.
-    """
-
-    def __init__(self, spark: SparkSession, schema, key: list[str]):
-        self.spark, self.schema, self.key, self.path = spark, schema, key, store.fresh(spark, "keyed")
-        self.versions = [-1]
-
-    def read(self) -> DataFrame:
-        if self.versions[-1] < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={self.versions[-1]}")
-
-    def merge(self, batch: DataFrame, number: int) -> None:
-        while self.versions[-1] >= number:
-            self.versions.pop()
-        ingest.upserted(self.read(), batch, self.key).write.mode("overwrite").parquet(f"{self.path}/v={number}")
-        self.versions.append(number)
-
-
 class Freshness(StreamingQueryListener):
     """Last success, rows and error of each query, by name."""
 
