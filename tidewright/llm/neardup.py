@@ -51,7 +51,8 @@ from .common import LOWER, bytes_of, slices, staged, table
 from .components import components
 from .words import Words, mixed, parting
 
-WORDS, K, OVERLAP, SLACK = 5, 48, 16, 6.0
+#: SLACK lets the union estimate of K values ask for no more than OVERLAP: a pair of the similarity itself fails either with a probability of 2.3e-10.
+WORDS, K, OVERLAP, SLACK = 5, 48, 16, 6.7
 #: Members and shingles of a block, as far as even dealing holds.
 BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 #: The similarity, as a fraction.
