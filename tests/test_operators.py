@@ -57,7 +57,7 @@ def test_routing():
     assert schemas.database("EURUSD") == "raw_eurusd" and schemas.database() == "raw_gold" and schemas.database("VIX") == "raw_vix"
     assert schemas.timeframes("USDX") == ("h1",) and schemas.timeframes("XAUUSD") == ("m5", "m15", "h1")
     assert "data_source" not in schemas.bar_schema("XAGUSD").names and "data_source" in schemas.bar_schema("NDX100").names
-    with pytest.raises(ValueError, match="RAW_DB.*NZDCHF"):
+    with pytest.raises(ValueError, match="database.*NZDCHF"):
         schemas.database("NZDCHF")
 
 
