@@ -38,7 +38,7 @@ from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
 #: Bits for the number of a piece among those of its length; rows with ids that a task works on at once; bytes of text that it encodes at once.
-RANK_BITS, UNPACKED, CHUNK = 48, 512, 2_000_000
+RANK_BITS, UNPACKED, CHUNK = 48, 128, 500_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
