@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from tidewright import queries as library
+from tidewright.operators import scans
+from tidewright.sources import fixtures as fx
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +26,31 @@ def crowded(tmp_path_factory):
 def test_ticks_of_one_time_are_no_copies(spark, crowded):
     sf, duck = crowded
     same_rows(library.QUERIES["dedup_keep_first"](spark, sf), duck.sql(library.ORACLES["dedup_keep_first"]))
+
+
+@pytest.mark.parametrize("name", ["daily_series", "fold_bars", "asof_monthly_to_daily"])
+def test_daily_walk_of_crowded_days(spark, crowded, name):
+    sf, duck = crowded
+    same_rows(library.QUERIES[name](spark, sf), duck.sql(library.ORACLES[name]))
+
+
+def test_tick_walk_of_crowded_hours(spark, crowded):
+    sf, duck = crowded
+    same_rows(fx.ticks(spark, sf), duck.sql(f"{fx.with_('ticks')} SELECT * FROM ticks"))
+
+
+@pytest.mark.parametrize("walk", [fx.daily, fx.ticks])
+def test_walks_are_in_no_one_order(spark, crowded, walk):
+    """No window over rows of a table has a whole series for its partition."""
+    plan = walk(spark, crowded[0])._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and all("__block" in x for x in plan.splitlines() if "Window" in x and "windowspecdefinition" in x)
+
+
+@pytest.mark.parametrize("n", [2, 5, 200])
+def test_moving_sum(spark, duck, n):
+    """Series of few and many rows an hour, null keys, times and values among them."""
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 10 < 9 THEN id % 3 END AS k", "CASE WHEN id % 50 > 0 THEN timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(CASE WHEN id < 800 THEN 5 ELSE id * id % 977 END)) END AS t", "id", "CASE WHEN id % 13 > 3 THEN CAST(id * 31 % 101 AS DECIMAL(12, 2)) END AS v")
+    got = scans.moving_sum(rows, "v", n, "s", "t", "id", ("k",)).select("id", F.col("s").cast("double").alias("s"))
+    own = rows.toPandas()
+    duck.register("own", own)
+    same_rows(got, duck.sql(f"SELECT id, CAST(sum(v) OVER (PARTITION BY k ORDER BY t, id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS DOUBLE) AS s FROM own"))
