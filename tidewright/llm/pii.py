@@ -9,8 +9,9 @@ All of it is DataFrame functions and Spark's own gradient-boosted trees.
    together with a phone number before it, a phone number without a plus).
 3. Trees: a classifier over format features (length, digits, separators,
    groups, check sums, the last label of a name) and context features (what
-   touches the span, words before it) learns from at most SAMPLE labelled
-   candidates with the least hash. Those that base rules confirm are positive.
+   touches the span, words before it) learns from all labelled candidates,
+   those of equal features as one weighted row. Those that base rules confirm
+   are positive.
    Those that fail their kind's check, lie on a base span of another kind or
    are part of a longer word or number, begin with a year (phones) or end
    unlike a name (addresses with [at]) are negative. The rest, which rules
@@ -37,6 +38,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, PRECISION, LEAST, TREES, DEPTH, CONTEXT = 20_000, 0.95, 10, 12, 4, 24
+PRECISION, LEAST, TREES, DEPTH, CONTEXT = 0.95, 10, 12, 4, 24
 #: The base patterns. Possessive repeats and the look-behinds keep long runs linear; they match what the plain patterns match.
 BASE = (
     r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -204,20 +206,24 @@ def featured(rows: DataFrame) -> DataFrame:
     )
 
 
-def scored(candidates: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, float]] | None:
+def scored(candidates: DataFrame) -> tuple[DataFrame, dict[int, float]] | None:
     """The candidates with a score each, and each kind's threshold; None where there is nothing to learn from."""
-    pick = F.xxhash64("row", "start", "end", "kind", "form")
-    own = staged(candidates.where("label is not null").orderBy(pick, "row", "start", "end", "kind", "form").limit(sample), "pii-sample")
-    half = F.pmod(F.xxhash64("row"), F.lit(2))
-    if own.where("label is not null").groupBy(half.alias("half"), "label").count().count() < 4:
+    own = candidates.where("label is not null")
+    half = F.pmod(F.xxhash64("row"), F.lit(2)).alias("half")
+    # What trees see of an example is its features: equal ones are one row with their number as its weight, so all of them are learnt from.
+    own = staged(own.groupBy(half, (F.col("form") > 0).alias("made"), "label", *FEATURES).agg(F.count("*").cast("double").alias("n")), "pii-examples")
+    ways = own.groupBy("half", "label").agg(F.count("*").alias("n")).collect()  # four rows at most
+    if len(ways) < 4:
         return None
+    # So many bins that Spark looks for splits among all rows, which it does up to maxBins squared.
+    bins = max(32, math.isqrt(sum(r["n"] for r in ways)) + 1)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxBins=32)
-    fit = lambda rows: trees.fit(vectors.transform(rows).select("features", "label"))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxBins=bins)
+    fit = lambda rows: trees.fit(vectors.transform(rows).select("features", "label", "n"))
     judged = lambda model, df: model.transform(vectors.transform(df)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    kept = own.where(~((F.col("form") == 0) & (F.col("label") == 1) & F.col("kind").isin(*MADE)))
-    apart = judged(fit(own.where(half == 0)), kept.where(half == 1)).unionByName(judged(fit(own.where(half == 1)), kept.where(half == 0)))
-    steps = apart.groupBy("kind", F.round("score", 3).alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("yes")).collect()  # 4 kinds, 1001 scores
+    kept = own.where(~(~F.col("made") & (F.col("label") == 1) & F.col("kind").isin(*MADE)))
+    apart = judged(fit(own.where("half = 0")), kept.where("half = 1")).unionByName(judged(fit(own.where("half = 1")), kept.where("half = 0")))
+    steps = apart.groupBy("kind", F.round("score", 3).alias("score")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("yes")).collect()  # 4 kinds, 1001 scores
     thresholds = {k: t for k in range(len(KINDS)) if (t := threshold([(r["score"], r["n"], r["yes"]) for r in steps if r["kind"] == k])) is not None}
     return (judged(fit(own), candidates.where("form = 0")), thresholds) if thresholds else None
 
