@@ -54,6 +54,27 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     return spark.table(own)
 
 
+#: Bits of a filter for each key and, as a power of 2, in one of its maps and at most in all (8 MB).
+BITS_A_KEY, MAP_BITS, MOST_BITS = 16, 15, 26
+
+
+def met_by(rows: DataFrame, keys: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows with __met: true where keys (by) have the row's own, and by chance for a few others; false where they have not.
+
+    One hash of each key sets a bit; the maps of bits, of bounded size whatever
+    the number of keys, are sent to all tasks. So rows that no key meets are
+    told without a shuffle; those that are met are left to an exact join.
+    """
+    bits = min(max((BITS_A_KEY * keys.count()).bit_length(), MAP_BITS), MOST_BITS)
+    place = F.xxhash64(*by).bitwiseAND(F.lit((1 << bits) - 1))
+    part, at = F.shiftright("__place", MAP_BITS), F.col("__place").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    maps = keys.select(place.alias("__place")).select(part.alias("__part"), at.alias("__at")).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    own = rows.withColumn("__place", place).withColumn("__part", part).join(F.broadcast(maps), "__part", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.bit_get(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return own.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("__met"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in order, in runs of about `size` bytes of a text column; Spark bounds the batches' own bytes."""
     for b in batches:

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, slices, staged, table
+from .common import LOWER, bytes_of, met_by, slices, staged, table
 from .components import components
 from .words import Words, mixed, parting
 
@@ -135,9 +135,11 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             sets = sets_of(list(bytes_of(b.column("text"))))
             yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "a": b.column("a"), "n": pa.array([len(s) for s in sets], pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    # The nodes grow with the documents: no broadcast, whatever their number. Rows equal in both keys have one text, and are one before the shuffle.
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key")).groupBy("id", "text_key").agg(F.first("text").alias("text"))
-    texts = texts.join(nodes.select(F.col("doc.doc").alias("id"), F.col("doc.a").alias("a"), "text_key").hint("merge"), ["id", "text_key"])
+    # The nodes grow with the documents: no broadcast, whatever their number. Few texts are of nodes, so the others are left out before the shuffle. Rows equal in both keys have one text, and are one before it.
+    named = staged(nodes.select(F.col("doc.doc").alias("id"), F.col("doc.a").alias("a"), "text_key"), "named")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    texts = met_by(texts, named, ("id", "text_key")).where("__met").groupBy("id", "text_key").agg(F.first("text").alias("text"))
+    texts = texts.join(named.hint("merge"), ["id", "text_key"])
     rows = texts.select(F.col("id").alias("doc"), "a", "text").mapInArrow(run, "doc long, a long, n long, set binary")
     return rows.select(node().alias("doc"), "n", "set")
 
@@ -339,12 +341,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = rows.groupBy("component").agg(F.min(F.struct("doc", "text_key")).alias("best"))
     keys = rows.groupBy("doc", "text_key", "component").agg(F.count("*").alias("n"))
     decided = keys.join(best, "component").select("doc", "text_key", (F.struct("doc", "text_key") == F.col("best")).alias("stays"), "n").where("not stays or n > 1")
-    decided = staged(decided.select(F.struct("doc", "text_key").alias("key"), "stays"), "decided")
-    own = docs.select(F.struct("*").alias("row"), F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_key().alias("text_key")).alias("key"))
-    met = own.join(decided, "key", "left")
-    alone = met.where("stays is null").select("row.*")
+    key = ("doc", "text_key")
+    decided = staged(decided.select(*key, "stays"), "decided")
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_key().alias("text_key"))
+    # Most rows are alone: only those that may be decided on move.
+    own = met_by(own, decided, key)
+    met = own.where("__met").join(decided, list(key), "left")
+    alone = own.where("not __met").select("row.*").unionByName(met.where("stays is null").select("row.*"))
     # Equal rows, or rows of one doc_id and text that other columns tell apart: one of them.
-    repeated = met.where("stays").groupBy("key").agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in docs.columns))).alias("row")).select("row.*")
+    repeated = met.where("stays").groupBy(*key).agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in docs.columns))).alias("row")).select("row.*")
     return alone.unionByName(repeated)
 
 
