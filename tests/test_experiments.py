@@ -118,3 +118,30 @@ def test_ablation(spark):
     assert got.keys() == want.keys() and want
     for key, (n, net) in want.items():
         assert got[key][0] == n and abs(got[key][1] - net) < 1e-5
+
+
+def test_walk_forward_with_fitted_variances(spark):
+    test_walk_forward(spark, "garch", q.GARCH)
+
+
+def test_wfo_garch_fits_in_every_configuration(spark, monkeypatch):
+    grids, fits, fit = [], [], kernels.fit_garch
+
+    def taken(bars, model, grid, *_):
+        grids.append((bars.toPandas().sort_values("ts"), grid))
+        raise StopIteration
+
+    def counted(e):
+        fits.append((len(e), *fit(e)))
+        return fits[-1][1:]
+
+    monkeypatch.setattr(ex, "walk_forward", taken)
+    with pytest.raises(StopIteration):
+        q.QUERIES["wfo_garch"](spark, SF)
+    monkeypatch.setattr(kernels, "fit_garch", counted)
+    ((bars, grid),) = grids
+    assert len({c.window for c in grid}) > 1 and len({c.k for c in grid}) > 1
+    for c in grid:
+        fits.clear()
+        trips(bars[:300], "garch", c)
+        assert fits and all(n >= 30 for n, *_ in fits) and any(alpha + beta > 0 for _, _, alpha, beta in fits)

@@ -119,6 +119,24 @@ def test_garch_fit_is_no_worse_than_its_start():
     assert alpha + beta < 0.999 and kernels.garch_nll(e, omega, alpha, beta) <= kernels.garch_nll(e, 0.05 * e.var(), 0.10, 0.85)
 
 
+@pytest.mark.parametrize("n", [30, 39, 59, 119])
+def test_garch_fit_ends_where_no_small_step_helps(n):
+    for seed in range(12):
+        e = np.random.default_rng(seed).normal(size=n) * (1 + seed % 3 * (np.arange(n) > n // 2))
+        omega, alpha, beta = kernels.fit_garch(e)
+        near = [(omega * a, max(alpha + b, 0), max(beta + c, 0)) for a in (0.98, 1, 1.02) for b in (-0.01, 0, 0.01) for c in (-0.01, 0, 0.01)]
+        assert kernels.garch_nll(e, omega, alpha, beta) <= min(kernels.garch_nll(e, *p) for p in near) + 1e-4
+
+
+def test_garch_fit_of_odd_residuals():
+    assert kernels.fit_garch(np.arange(29.0))[1:] == (0.0, 0.0)
+    for e in (np.zeros(40), np.full(40, 3.0), np.r_[np.zeros(39), 1.0], np.arange(40.0) * 1e140, np.arange(40.0) * 1e-9):
+        omega, alpha, beta = kernels.fit_garch(e)
+        assert omega > 0 and alpha >= 0 and beta >= 0 and alpha + beta < 0.999
+    with np.errstate(all="ignore"):
+        assert kernels.fit_garch(np.arange(40.0) * 1e160)[1:] == (0.0, 0.0)
+
+
 def test_regimes_split_a_calm_and_a_wild_series():
     v = np.concatenate([np.full(100, 0.01), np.full(100, 0.05)]) * (1 + 0.1 * np.random.default_rng(0).random(200))
     hmm = kernels.Regimes.calibrated(v)
